@@ -6,10 +6,34 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from paperloom.llm import leaks, neardup, residue, tokens
+from paperloom.llm import encoding, leaks, lookalike, neardup, residue, scan, tokens
 from paperloom.session import table
 
 
+def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scan.find_noise(table(spark, sf_dir, "parsed_resumes"))
+
+
+def p1_clean(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scan.clean(table(spark, sf_dir, "parsed_resumes"))
+
+
+def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return encoding.find_garbled(table(spark, sf_dir, "parsed_resumes"))
+
+
+def p2_repaired(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return encoding.repair(table(spark, sf_dir, "parsed_resumes"))
+
+
+def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lookalike.find_lookalikes(table(spark, sf_dir, "parsed_resumes"))
+
+
+def p3_unified(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lookalike.unify(table(spark, sf_dir, "parsed_resumes"), ("raw_text", "cleaned_text"))
+
+
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.all_pairs(table(spark, sf_dir, "parsed_resumes"), 0.6, 3, "doc_id", "cleaned_text")
 
@@ -38,7 +62,7 @@ def p10_clean(spark: SparkSession, sf_dir: str) -> DataFrame:
     return residue.without_residue(table(spark, sf_dir, "documents")).select("doc_id", "text")
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (p5_found, p5_groups, p8_ids, p9_found, p9_removed, p10_found, p10_clean)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (p1_found, p1_clean, p2_found, p2_repaired, p3_found, p3_unified, p5_found, p5_groups, p8_ids, p9_found, p9_removed, p10_found, p10_clean)}
 
 _WORDS = "list_transform(regexp_extract_all(text, '[A-Za-z0-9]+'), x -> lower(x))"
 
