@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from paperloom.llm import encoding, leaks, lookalike, neardup, residue, scan, tokens
+from paperloom.llm import encoding, leaks, lookalike, names, neardup, residue, scan, tokens
 from paperloom.session import table
 
 
@@ -34,6 +34,10 @@ def p3_unified(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lookalike.unify(table(spark, sf_dir, "parsed_resumes"), ("raw_text", "cleaned_text"))
 
 
+def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return names.find_organisations(table(spark, sf_dir, "parsed_resumes"), table(spark, sf_dir, "organisations"))
+
+
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.all_pairs(table(spark, sf_dir, "parsed_resumes"), 0.6, 3, "doc_id", "cleaned_text")
 
@@ -62,7 +66,7 @@ def p10_clean(spark: SparkSession, sf_dir: str) -> DataFrame:
     return residue.without_residue(table(spark, sf_dir, "documents")).select("doc_id", "text")
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (p1_found, p1_clean, p2_found, p2_repaired, p3_found, p3_unified, p5_found, p5_groups, p8_ids, p9_found, p9_removed, p10_found, p10_clean)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (p1_found, p1_clean, p2_found, p2_repaired, p3_found, p3_unified, p4_found, p5_found, p5_groups, p8_ids, p9_found, p9_removed, p10_found, p10_clean)}
 
 _WORDS = "list_transform(regexp_extract_all(text, '[A-Za-z0-9]+'), x -> lower(x))"
 
