@@ -6,5 +6,21 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+from paperloom.operators import nesting
+from paperloom.session import table
+
+
+def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nesting.find_children(table(spark, sf_dir, "parsed_resumes"), table(spark, sf_dir, "audits"))
+
+
+def p6_bridge(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nesting.bridge(table(spark, sf_dir, "parsed_resumes"), table(spark, sf_dir, "audits"))
+
+
+def p6_objects(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nesting.objects(p6_bridge(spark, sf_dir))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (p6_found, p6_bridge, p6_objects)}
 ORACLES: dict[str, str] = {}
