@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from paperloom.llm import encoding, leaks, lookalike, names, neardup, residue, scan, tokens
+from paperloom.llm import encoding, leaks, lookalike, names, neardup, pii, residue, scan, tokens
 from paperloom.session import table
 
 
@@ -46,6 +46,14 @@ def p5_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.groups(table(spark, sf_dir, "parsed_resumes"), 0.6, 3, "doc_id", "cleaned_text")
 
 
+def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.find_personal(table(spark, sf_dir, "parsed_resumes"))
+
+
+def p7_redacted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.examine(table(spark, sf_dir, "parsed_resumes")).select("doc_id", "field_name", "place", "redacted_text")
+
+
 def p8_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.encode(table(spark, sf_dir, "documents"))
 
@@ -66,7 +74,7 @@ def p10_clean(spark: SparkSession, sf_dir: str) -> DataFrame:
     return residue.without_residue(table(spark, sf_dir, "documents")).select("doc_id", "text")
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (p1_found, p1_clean, p2_found, p2_repaired, p3_found, p3_unified, p4_found, p5_found, p5_groups, p8_ids, p9_found, p9_removed, p10_found, p10_clean)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (p1_found, p1_clean, p2_found, p2_repaired, p3_found, p3_unified, p4_found, p5_found, p5_groups, p7_found, p7_redacted, p8_ids, p9_found, p9_removed, p10_found, p10_clean)}
 
 _WORDS = "list_transform(regexp_extract_all(text, '[A-Za-z0-9]+'), x -> lower(x))"
 
