@@ -144,9 +144,8 @@ def normalise(text: str | None, model: Model, garbled: list[tuple[int, int]] | N
         return "".join(pieces) + (normalise(text[at:], model) or "")
     if _SIMPLE.search(text):
         kept = _IN_EMOJI.sub(lambda m: m.group().translate(_KEEP), text)
-        text = unicodedata.normalize("NFC", _IGNORE.sub("", _STYLE.sub(_style, _SPACE.sub(" ", kept))))
-        if kept != text:
-            text = text.translate(_GIVE_BACK)
+        fixed = unicodedata.normalize("NFC", _IGNORE.sub("", _STYLE.sub(_style, _SPACE.sub(" ", kept))))
+        text = fixed.translate(_GIVE_BACK) if kept != text else fixed
     if _FOREIGN.search(text):
         text = _TOKEN.sub(lambda m: model.read(m.group()) if _mixed(m.group()) else m.group(), text)
     return text
@@ -170,7 +169,7 @@ def pair_counts(df: DataFrame, text_col: str) -> dict[str, int]:
                         total[a + b] += n
         yield pa.RecordBatch.from_arrays([pa.array(list(total)), pa.array(list(total.values()), pa.int64())], names=["pair", "n"])
 
-    counts = document_counts(df, text_col).where("word <> ''").mapInArrow(run, "pair string, n long")
+    counts = document_counts(df, text_col).mapInArrow(run, "pair string, n long")
     return {r["pair"]: r["n"] for r in counts.groupBy("pair").agg(F.sum("n").alias("n")).collect()}
 
 

@@ -342,15 +342,13 @@ def _token_counts(names: DataFrame) -> dict[str, int]:
         total: Counter[str] = Counter()
         for batch in batches:
             for name, n in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                total[""] += n
                 for word in set(words_of(name)):
                     total[word] += n
         yield pa.RecordBatch.from_arrays([pa.array(list(total)), pa.array(list(total.values()), pa.int64())], names=["word", "n"])
 
+    most = names.agg(F.sum("n")).first()[0] or 0
     counts = names.mapInArrow(run, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
-    total = counts.where("word = ''").select(F.col("n").alias("names"))
-    rows = counts.crossJoin(F.broadcast(total)).where(F.col("n") * TOKEN_SHARE >= F.col("names")).select("word", "n").collect()
-    return {r["word"]: r["n"] for r in rows}
+    return {r["word"]: r["n"] for r in counts.where(F.col("n") >= most / TOKEN_SHARE).collect()}
 
 
 def _slips_of(form: str, own: str, sort: str, counts: dict[str, int]) -> int | None:

@@ -290,22 +290,33 @@ _MAIL = re.compile(r"@|\bat\b", re.I)
 _DOT = re.compile(r"\.|\bdot\b", re.I)
 
 
-def plausible(kind: str, text: str) -> bool:
-    """Whether a stretch of text has the form of its kind."""
+#: Written forms that one kind alone has.
+_IDENTITY_FORM = re.compile(r"QQ\s?\d\d\s?\d\d\s?\d\d\s?[A-Z]|X\d{8}|\d{3}\.\d{3}\.\d{3}-\d\d|9\d\d[-\s]\d\d[-\s]\d{4}")
+_WORDS = re.compile(r"[^\W\d_]+")
+
+
+def settled(kind: str, text: str, plain: frozenset[str] = frozenset()) -> str | None:
+    """The kind of a decoded stretch after a check of its form; None if it has no form of it."""
     digits = sum(c.isdigit() for c in text)
     letters = sum(c.isalpha() for c in text)
+    if kind in ("phone", "identity_number") and _IDENTITY_FORM.fullmatch(text):
+        return "identity_number"
     if kind == "email":
-        return bool(_MAIL.search(text)) and bool(_DOT.search(text)) and letters >= 5
-    if kind == "phone":
-        return 7 <= digits <= 17
-    if kind == "identity_number":
-        return 6 <= digits <= 14
-    if kind == "address":
-        return digits >= 1 and letters >= 3 and (text.count(" ") >= 1 or len(text) > 8)
-    return letters >= 4 and digits <= 2 and any(c.isupper() for c in text)
+        fits = bool(_MAIL.search(text)) and bool(_DOT.search(text)) and letters >= 5
+    elif kind == "phone":
+        fits = 7 <= digits <= 17
+    elif kind == "identity_number":
+        fits = 6 <= digits <= 14
+    elif kind == "address":
+        fits = digits >= 1 and letters >= 3 and (text.count(" ") >= 1 or len(text) > 8)
+    else:
+        # styled and look-alike letters count as the plain ones they stand for
+        words = _WORDS.findall("".join(chr(i + 26) if i > 5 else "x" if i in (1, 2) else " " for i in char_ids(text).tolist() if i != 5))
+        fits = letters >= 4 and digits <= 2 and len(words) >= 2 and any(c.isupper() for c in text) and any(len(w) > 1 and w not in plain and w.capitalize() not in plain for w in words)
+    return kind if fits else None
 
 
-def spans_of(labels: np.ndarray, text: str) -> list[tuple[int, int, str]]:
+def spans_of(labels: np.ndarray, text: str, plain: frozenset[str] = frozenset()) -> list[tuple[int, int, str]]:
     """(from, to, kind) of the labelled stretches that have the form of their kind."""
     out = []
     at = 0
@@ -322,8 +333,9 @@ def spans_of(labels: np.ndarray, text: str) -> list[tuple[int, int, str]]:
                 a += 1
             while b > a and (text[b - 1].isspace() or text[b - 1] in ",;|/>:"):
                 b -= 1
-            if b > a and plausible(KINDS[kind], text[a:b]):
-                out.append((a, b, KINDS[kind]))
+            name = settled(KINDS[kind], text[a:b], plain) if b > a else None
+            if name:
+                out.append((a, b, name))
             at = end
         else:
             at += 1
@@ -348,7 +360,7 @@ class Finder:
                 fresh = {text[a:b] for text, own in zip(texts, parts) for a, b, _ in own}
             order = sorted(fresh)
             for piece, labels in zip(order, self.tagger.label(order)):
-                self.store[piece] = spans_of(labels, piece)
+                self.store[piece] = spans_of(labels, piece, self.plain)
         out = []
         for text, own in zip(texts, parts):
             found = []

@@ -21,7 +21,7 @@ from paperloom.llm.pii import KINDS, LABELS, MODEL, WINDOW, char_ids, stretches
 #: Rows that are labelled at most.
 SAMPLE = 4000
 SIZE, EMBED, VOCABULARY = 32, 16, 101
-EPOCHS, BATCH, RATE = 14, 128, 0.006
+EPOCHS, BATCH, RATE = 16, 128, 0.006
 
 #: Blanks between the parts of a name, over one line end at most.
 _GAP = r"(?:[^\S\n]+|[^\S\n]*\n[^\S\n]*)"
@@ -65,6 +65,9 @@ def surnames_of(rows: list[list[str]]) -> set[str]:
     return out
 
 
+_PERSON = re.compile(r"\b(?:Dr|Prof|Sir|Dame|Doctor|Professor)\b|(?<![^\W_])[^\W\d_]\.|\b(?:" + "|".join(sorted({n.capitalize() for n in NICK} | {k.capitalize() for v in NICK.values() for k in v.split()})) + r")\b")
+
+
 class Labeller:
     """Labels the spans of one row, given the given names that the sample's fields hold."""
 
@@ -113,9 +116,13 @@ class Labeller:
 
 
 def own_names(references: list | None, publications: list | None, awards: list | None) -> list[str]:
+    """Names that the fields of a row hold. Of those who gave awards only people count: with a title, an initial or a usual given name."""
     out = [q["name"] for q in references or [] if q and q["name"]]
     out += [a for q in publications or [] if q for a in q["authors"] or [] if a and a.strip()]
-    out += [q["issuer"].strip() for q in awards or [] if q and q["issuer"] and not _ORG.search(q["issuer"]) and 2 <= len(q["issuer"].split()) <= 4 and any(c.islower() for c in q["issuer"])]
+    for q in awards or []:
+        issuer = (q["issuer"] or "").strip() if q else ""
+        if issuer and not _ORG.search(issuer) and 2 <= len(issuer.split()) <= 4 and _PERSON.search(issuer):
+            out.append(issuer)
     return sorted({n.strip() for n in out}, key=len, reverse=True)
 
 
@@ -161,6 +168,30 @@ def noisy(text: str, rng: np.random.Generator) -> str:
     return "".join(chars)
 
 
+#: Plain surroundings, so that items are known by their own form too.
+_AROUND = [
+    "{} wrote to the board", "I met {} in 2019", "please contact {} for details", "as {} and others said", "signed by {} on Monday", "thanks to {}.", "({})", "see {}; ask first", "Interviewer: {}", "{} lives there", "from {} to the office",
+    "reach us under {} at any time", "the records of {} were moved", "He asked {} twice", "our neighbour {}, now retired", "sent to {} last week", "{}", "Written by {}", "on behalf of {}", "My details: {}",
+]
+
+
+def plain_surroundings(texts: list[str], spans: list[list[tuple[int, int, str]]], rng: np.random.Generator, share: float = 0.12) -> list[tuple[str, np.ndarray]]:
+    """Some of the items in plain sentences."""
+    out = []
+    for text, own in zip(texts, spans):
+        for a, b, kind in own:
+            if rng.random() < share and b - a < 70:
+                before, after = _AROUND[rng.integers(len(_AROUND))].split("{}")
+                item = " ".join(text[a:b].split())
+                whole = before + item + after
+                labels = np.zeros(len(whole), dtype=np.int64)
+                k = KINDS.index(kind)
+                labels[len(before)] = 1 + 2 * k
+                labels[len(before) + 1 : len(before) + len(item)] = 2 + 2 * k
+                out.append((whole[:WINDOW], labels[:WINDOW]))
+    return out
+
+
 def examples(texts: list[str], spans: list[list[tuple[int, int, str]]], plain: set[str]) -> list[tuple[str, np.ndarray]]:
     """Windows of the gated stretches with the labels of their characters."""
     out = []
@@ -331,10 +362,9 @@ def fit(rows: list[tuple[str, list[str]]], epochs: int = EPOCHS, seed: int = 5,
     texts = [t for t, _ in rows]
     spans = [labeller.spans(t, own) for t, own in rows]
     plain = plain_words(texts, spans)
-    data = examples(texts, spans, set(plain))
     rng = np.random.default_rng(seed)
+    data = examples(texts, spans, set(plain)) + plain_surroundings(texts, spans, rng)
     net = Network(seed)
-    batches = [data[i : i + BATCH] for i in range(0, len(data), BATCH)]
     data.sort(key=lambda x: len(x[0]))
     batches = [data[i : i + BATCH] for i in range(0, len(data), BATCH)]
     for epoch in range(epochs):

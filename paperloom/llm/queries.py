@@ -76,7 +76,7 @@ def p10_clean(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (p1_found, p1_clean, p2_found, p2_repaired, p3_found, p3_unified, p4_found, p5_found, p5_groups, p7_found, p7_redacted, p8_ids, p9_found, p9_removed, p10_found, p10_clean)}
 
-_WORDS = "list_transform(regexp_extract_all(text, '[A-Za-z0-9]+'), x -> lower(x))"
+_WORDS = "list_transform(regexp_extract_all(text, '[A-Za-z0-9]+'), lambda x: lower(x))"
 
 ORACLES: dict[str, str] = {
     "p9_found": f"""

@@ -48,6 +48,7 @@ _FENCE = re.compile(r"^(```|~~~).*?^\1[ \t]*$", re.M | re.S)
 _INLINE = re.compile(r"`[^`\n]{1,200}`")
 #: Names a language gives to its own things, in those delimiters.
 _DUNDER = re.compile(r"__(?:version|author|authors|title|description|license|email|copyright|name|date|url|summary|maintainer)__\s*=(?!=)|(?<=\.)__\w+__")
+_OWN_NAMES = frozenset(("name", "file", "date", "doc"))
 _TEMPLATE_PATH = re.compile(r"(?:^|/)(?:_?templates?|skeletons?|scaffold(?:ing)?s?|archetypes?|blueprints?)/|\.(?:j2|jinja2?|tmpl|tpl|template|mustache|hbs|handlebars|erb|ejs|liquid|twig|cookiecutter)$|(?:^|/)\{\{", re.I)
 _CONTROL = re.compile(r"\{%-?\s*(?:for|if|block|macro|set|include|extends)\b|\{\{[#/^]|<%\s*(?:if|for|end)\b|^\s*\{\{-?\s*(?:range|with|if|end)\b", re.M)
 
@@ -116,6 +117,7 @@ def _placeholder(text: str, path: str | None) -> bool:
     for kind, grammar in _GRAMMARS.items():
         found = grammar.findall(own)
         if kind == "underscore" and found:
+            found = [x for x in found if x not in _OWN_NAMES]
             found = found[: max(0, len(found) - len(_DUNDER.findall(own)))]
         elif kind == "angle" and found:
             low = own.lower()

@@ -27,27 +27,24 @@ def default_words(text: str) -> set[str]:
 
 
 def document_counts(df: DataFrame, text_col: str, words: Callable[[str], set[str]] = default_words) -> DataFrame:
-    """(word, n): in how many texts each word stands; the row with the empty word counts the texts.
+    """(word, n): in how many texts each word stands.
 
     Counts cover all texts. Words are summed inside each task before they are shuffled.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total: Counter[str] = Counter()
-        texts = 0
 
         def flush() -> pa.RecordBatch:
-            out = pa.RecordBatch.from_arrays([pa.array(["", *total]), pa.array([texts, *total.values()], pa.int64())], names=["word", "n"])
+            out = pa.RecordBatch.from_arrays([pa.array(list(total), pa.string()), pa.array(list(total.values()), pa.int64())], names=["word", "n"])
             total.clear()
             return out
 
         for batch in batches:
             for text in batch.column(0).to_pylist():
-                texts += 1
                 total.update(words(text))
             if len(total) > COUNTER:
                 yield flush()
-                texts = 0
         yield flush()
 
     source = df.select(F.col(text_col).cast("string")).where(F.col(text_col).isNotNull())
@@ -56,13 +53,10 @@ def document_counts(df: DataFrame, text_col: str, words: Callable[[str], set[str
 
 def vocabulary(df: DataFrame, text_col: str, words: Callable[[str], set[str]] = default_words, share: int = SHARE) -> tuple[dict[str, int], int]:
     """The bounded vocabulary with its document counts, and how many texts there are."""
-    counts = document_counts(df, text_col, words)
-    total = counts.where("word = ''").agg(F.sum("n").alias("texts"))
-    least = F.greatest(F.lit(3), F.ceil(F.col("texts") / share))
-    rows = counts.crossJoin(F.broadcast(total)).where((F.col("n") >= least) | (F.col("word") == "")).select("word", "n").collect()
-    found = {r["word"]: r["n"] for r in rows}
-    texts = found.pop("", 0)
-    return found, texts
+    texts = df.where(F.col(text_col).isNotNull()).count()
+    least = max(3, math.ceil(texts / share))
+    rows = document_counts(df, text_col, words).where((F.col("n") >= least)).collect()
+    return {r["word"]: r["n"] for r in rows}, texts
 
 
 class Trie:
@@ -120,6 +114,3 @@ class Trie:
                             stack.append((down, spelled + c, at + 1, cost + 1))
         return [(w, cost, n) for w, (cost, n) in best.items()]
 
-
-def log_ratio(a: int, b: int) -> float:
-    return math.log((a + 1) / (b + 1))
