@@ -277,3 +277,28 @@ def reviews_match(reviews: DataFrame, projects: DataFrame, id_col: str) -> DataF
     a = reviews.groupBy(id_col).agg(F.count("*").alias("reviews"))
     b = projects.groupBy(id_col).agg(F.count("*").alias("projects"))
     return a.join(b, id_col, "full").fillna(0, ["reviews", "projects"]).where("reviews <> projects")
+
+
+# ---- what goes to and comes from a model ----
+
+
+def without_extra_properties(schema: object) -> object:
+    """A JSON schema without its additionalProperties, at any depth."""
+    if isinstance(schema, dict):
+        return {k: without_extra_properties(v) for k, v in schema.items() if k != "additionalProperties"}
+    return [without_extra_properties(x) for x in schema] if isinstance(schema, list) else schema
+
+
+def explained_evidence(evidence: DataFrame, role_data: bool = False) -> DataFrame:
+    """Evidence as JSON text for an explanation. Without data on the role no keyword counts as missing."""
+    rows = evidence if role_data or "missing_keywords" not in evidence.columns else evidence.withColumn("missing_keywords", F.array().cast("array<string>"))
+    return rows.withColumn("evidence_json", F.to_json(F.struct(*rows.columns), {"ignoreNullFields": "false"}))
+
+
+def valid_score(payload: Column) -> Column:
+    """Whether the parts of a report's score are all there and within their bounds."""
+    ok = F.lit(True)
+    for part, most in L.MAXIMA.items():
+        value = F.try_variant_get(payload, f"$.explainable_scorecard.ats_score.breakdown.{part}", "int")
+        ok = ok & F.coalesce(value.between(0, most), F.lit(False))
+    return ok

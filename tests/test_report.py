@@ -110,3 +110,39 @@ def test_content_gates(spark, raw, scanned, words, expected):
 def test_weakest_category_is_the_first_of_equal_ones(spark):
     points = {"formatting": F.lit(0), "keywords": F.lit(0), "structure": F.lit(20), "achievements": F.lit(0), "ats_compatibility": F.lit(15)}
     assert spark.range(1).select(scoring.weakest(points)).first()[0] == "formatting"
+
+
+def test_what_goes_to_a_model(spark):
+    assert report.without_extra_properties({"a": {"additionalProperties": False, "b": [{"additionalProperties": 1}]}}) == {"a": {"b": [{}]}}
+    df = spark.createDataFrame([(1, ["x"])], "score int, missing_keywords array<string>")
+    assert json.loads(report.explained_evidence(df).first().evidence_json) == {"score": 1, "missing_keywords": []}
+    assert json.loads(report.explained_evidence(df, True).first().evidence_json)["missing_keywords"] == ["x"]
+    whole = {k: m for k, m in (("formatting", 15), ("keywords", 25), ("structure", 20), ("achievements", 25), ("ats_compatibility", 15))}
+    rows = spark.createDataFrame([(json.dumps({"explainable_scorecard": {"ats_score": {"breakdown": b}}}),) for b in (whole, whole | {"keywords": 26}, {})], "p string")
+    assert [r[0] for r in rows.select(report.valid_score(F.try_parse_json("p"))).collect()] == [True, False, False]
+
+
+def test_lints(spark):
+    words = spark.createDataFrame([(1, "SQL", "a"), (1, "sql ", "b"), (1, "x", "a"), (2, "x", "a")], "id int, keyword string, kind string")
+    assert [tuple(r) for r in report.keyword_in_several_classes(words, "id").collect()] == [(1, "sql", 2)]
+    notes = spark.createDataFrame([(1, "n"), (1, " n"), (2, "n")], "id int, note string")
+    assert [tuple(r) for r in report.repeated_notes(notes, "id").collect()] == [(1, "n", 2)]
+    assert sorted(tuple(r) for r in report.reviews_match(notes, words.where("id = 1"), "id").collect()) == [(1, 2, 3), (2, 1, 0)]
+    assert spark.range(1).select(report.ranks_complete(F.array(*[F.lit(i) for i in range(10, 0, -1)])), report.ranks_complete(F.array(F.lit(1)))).first() == (True, False)
+
+
+def test_scores_are_merged(spark):
+    reports = spark.createDataFrame([(1, 90, "model"), (2, 80, "model")], "doc_id int, score int, reason string")
+    own = spark.createDataFrame([(1, 50, 1, 2, 3, 4, 5, "own")], "doc_id int, score int, formatting int, keywords int, structure int, achievements int, ats_compatibility int, reason string")
+    got = {r.doc_id: (r.score, r.reason, r.formatting) for r in report.merged_score(reports, own).collect()}
+    assert got == {1: (50, "own", 1), 2: (80, "model", None)}
+
+
+def test_timings():
+    from paperloom.plans.timing import Timings
+
+    t = Timings()
+    assert t.report().count("N/A") == 8
+    with t.stage("score"):
+        pass
+    assert t.report().count("N/A") == 6

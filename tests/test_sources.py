@@ -75,3 +75,36 @@ def test_cache(spark, tmp_path):
     assert cache.read(spark, str(tmp_path / "c")).count() == 0
     keys = spark.createDataFrame([("t", "Role "), ("t", "role"), ("t", None)], "c string, r string").select(cache.cache_key(F.col("c"), F.col("r"))).collect()
     assert keys[0] == keys[1] != keys[2]
+
+
+def test_providers(spark):
+    from paperloom.operators import providers
+
+    table = spark.createDataFrame([("Analyst", " SQL "), ("analyst", "sql"), (None, "Git"), ("Clerk", "typing"), (None, " "), (None, None)], "target_role string, keyword string")
+    own = providers.TableKeywords(table)
+    assert own.keywords("ANALYST ") == ["git", "sql"] and own.keywords() == ["git", "sql", "typing"] and own.keywords("x") == ["git"]
+    assert providers.StaticKeywords(["B", "a", ""]).keywords() == ["a", "b"]
+    df = spark.createDataFrame([(1, "short"), (2, "long enough " * 9), (3, None)], "doc_id int, text string")
+    assert [r.classifier_status for r in providers.classify(df).orderBy("doc_id").collect()] == ["INSUFFICIENT_TEXT", "NOT_CONFIGURED", "INSUFFICIENT_TEXT"]
+    told = providers.classify(df, provider=lambda text, role: "resume").orderBy("doc_id").collect()
+    assert [r.is_resume for r in told] == [False, True, False]
+
+    def fails(text, role):
+        raise TimeoutError
+
+    failed = providers.classify(df, provider=fails).where("doc_id = 2").first()
+    assert failed.classifier_status == "FAILED: TimeoutError" and not failed.is_resume
+    assert {r.review_status for r in providers.review(df).collect()} == {"NOT_CONFIGURED"}
+    assert providers.review(df, provider=lambda t, r: "{}").first().payload == "{}"
+
+
+def test_pipeline_on_odd_rows(spark):
+    from paperloom.plans import pipeline
+
+    rows = spark.createDataFrame([(1, None, None), (2, "", False), (3, "word " * 20, True), (4, "Jane Doe\nSUMMARY\n" + "word " * 40, False)], "doc_id int, raw_text string, is_scanned boolean")
+    got = {r.doc_id: r for r in pipeline.parse_resumes(rows).collect()}
+    assert [got[i].error_code for i in (1, 2, 3, 4)] == ["EMPTY_DOCUMENT", "EMPTY_DOCUMENT", "SCANNED_DOCUMENT_DETECTED", "OK"]
+    assert got[4].summary.startswith("word") and got[1].entities is None and got[4].entities.candidate_info.name == "Jane Doe"
+    ready = rows.selectExpr("doc_id", "raw_text as text", "is_scanned", "size(split(coalesce(raw_text, ''), ' ')) as word_count", "1 as page_count")
+    scored = {r.doc_id: r for r in pipeline.analyze(ready).collect()}
+    assert scored[4].score is not None and scored[1].score is None and len(scored) == 4
