@@ -153,3 +153,8 @@ def score(df: DataFrame, terms: list[str], id_col: str = "doc_id", text_col: str
     return rows.select(id_col, F.greatest(F.lit(0), F.least(F.lit(100), total)).alias("score"), *[F.col(k) for k in (*parts, "ats_compatibility")], weakest(points).alias("weakest"), reason(points).alias("reason"), *evidence)
 
 
+
+
+def serialized(scored: DataFrame, id_col: str = "doc_id") -> DataFrame:
+    """(id, evidence): all that was measured, as JSON text without loss."""
+    return scored.select(id_col, F.to_json(F.struct(*[c for c in scored.columns if c != id_col]), {"ignoreNullFields": "false"}).alias("evidence"))

@@ -176,6 +176,14 @@ _CONTACT = rf"[\p{{L}}\p{{N}}_.\-]+@[\p{{L}}\p{{N}}_.\-]+\.[\p{{L}}\p{{N}}_]+|\+
 _EDGE = r"[^\p{L}\p{N}_.+#]"
 _MAGIC = "'\\xD0\\xCF\\x11\\xE0\\xA1\\xB1\\x1A\\xE1'::blob"
 
+_FILES = f"""select upload_id, ext, size_mb, n_bytes, case when ext not in ('pdf', 'docx', 'txt') then 'UNSUPPORTED_FORMAT' when size_mb > 10 then 'FILE_TOO_LARGE' when n = 0 then 'EMPTY_FILE'
+            when ext = 'docx' and coalesce(h[1:8] = {_MAGIC}, false) then 'ENCRYPTED' when ext = 'docx' and not coalesce(h[1:2] = 'PK'::blob, false) then 'CORRUPTED'
+            when ext = 'pdf' and not coalesce(h[1:4] = '%PDF'::blob, false) then 'CORRUPTED' when ext = 'pdf' and contains(hex(h), hex('/Encrypt'::blob)) then 'ENCRYPTED'
+            when ext = 'txt' and (select contains(hx, '00') or cn::double / greatest(len(hx), 1) > 0.05 from (select list_transform(range(octet_length(h)), lambda i: substr(hex(h), 2 * i + 1, 2)) as hx) cross join lateral (select len(list_filter(hx, lambda b: b < '20' and b not in ('09', '0A', '0D') or b = '7F')) as cn)) then 'CORRUPTED'
+            else 'OK' end as error_code, n::double / 1048576.0 > 10 as over_strict_limit
+        from (select upload_id, lower(regexp_extract(coalesce(path, ''), '(?s)\\.([^.]*)\\z', 1)) as ext, round(coalesce(n_bytes, 0)::double / 1048576.0, 2) as size_mb, coalesce(n_bytes, 0) as n, n_bytes, head_bytes as h
+            from (select *, row_number() over (partition by upload_id) as rn from uploads) where rn = 1)"""
+
 ORACLES: dict[str, str] = {
     "content_lines": f"select doc_id, len({lines('t')}) as line_count, len({words('t')}) as word_count, len(list_filter(regexp_split_to_array(t, '\\n{WS}*\\n'), lambda b: {trim('b')} <> '')) as block_count from (select doc_id, coalesce(raw_text, '') as t from parsed_resumes)",
     "clean_text": f"with {_CLEAN} select doc_id, text from clean",
@@ -183,13 +191,8 @@ ORACLES: dict[str, str] = {
     "corrupted_text": "select doc_id, coalesce(length(text) > 0 and (length(text) - length(regexp_replace(text, '[\\x{1}-\\x{8}\\x{b}\\x{c}\\x{e}-\\x{1f}\\x{7f}]', '', 'g')))::double / length(text) > 0.05, false) as corrupted from documents",
     "strip_bullets": f"""with {_CLEAN}, x as (select doc_id, unnest({lines('text')}) as l, generate_subscripts({lines('text')}, 1) - 1 as pos from clean), y as (select doc_id, pos, {trim(f"regexp_replace(l, {q(BULLET)}, '')")} as line from x)
         select doc_id, pos, line, lower(trim(regexp_split_to_array(line, {q(WS + '+')})[1], '.,;:!()')) in ({", ".join(map(q, L.ACTION_VERBS))}) as verb from y""",
-    "file_validation": f"""select upload_id, ext, size_mb, case when ext not in ('pdf', 'docx', 'txt') then 'UNSUPPORTED_FORMAT' when size_mb > 10 then 'FILE_TOO_LARGE' when n = 0 then 'EMPTY_FILE'
-            when ext = 'docx' and coalesce(h[1:8] = {_MAGIC}, false) then 'ENCRYPTED' when ext = 'docx' and not coalesce(h[1:2] = 'PK'::blob, false) then 'CORRUPTED'
-            when ext = 'pdf' and not coalesce(h[1:4] = '%PDF'::blob, false) then 'CORRUPTED' when ext = 'pdf' and contains(hex(h), hex('/Encrypt'::blob)) then 'ENCRYPTED'
-            when ext = 'txt' and (select contains(hx, '00') or cn::double / greatest(len(hx), 1) > 0.05 from (select list_transform(range(octet_length(h)), lambda i: substr(hex(h), 2 * i + 1, 2)) as hx) cross join lateral (select len(list_filter(hx, lambda b: b < '20' and b not in ('09', '0A', '0D') or b = '7F')) as cn)) then 'CORRUPTED'
-            else 'OK' end as error_code, n::double / 1048576.0 > 10 as over_strict_limit
-        from (select upload_id, lower(regexp_extract(coalesce(path, ''), '(?s)\\.([^.]*)\\z', 1)) as ext, round(coalesce(n_bytes, 0)::double / 1048576.0, 2) as size_mb, coalesce(n_bytes, 0) as n, head_bytes as h
-            from (select *, row_number() over (partition by upload_id) as rn from uploads) where rn = 1)""",
+    "file_validation": f"select upload_id, ext, size_mb, error_code, over_strict_limit from ({_FILES})",
+    "uploads_checked": f"select error_code, count(*) as n, sum(n_bytes)::bigint as bytes from ({_FILES}) group by 1",
     "content_validation": f"""select doc_id, case when coalesce(validation_info.is_scanned, false) then 'SCANNED_DOCUMENT_DETECTED' when {trim("coalesce(raw_text, '')")} = '' or w = 0 then 'EMPTY_DOCUMENT' when w < 15 then 'INSUFFICIENT_CONTENT' else 'OK' end as error_code,
         w as word_count, w >= 30 as audit_ready from (select *, coalesce(quality_info.word_count, len({words("coalesce(raw_text, '')")}))::bigint as w from parsed_resumes)""",
     "contacts": f"""with {_CLEAN} select doc_id, nullif(regexp_extract(text, {q(entities.EMAIL)}), '') as email, nullif({trim(f"regexp_extract(text, {q(entities.PHONE)})")}, '') as phone,

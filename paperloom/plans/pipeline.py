@@ -40,16 +40,21 @@ def parse_resumes(extracted: DataFrame, id_col: str = "doc_id", classifier: prov
     return told.join(found.select(id_col, F.struct(*[c for c in found.columns if c != id_col]).alias("entities")), id_col, "left")
 
 
-def analyze(extracted: DataFrame, role: str | None = None, keywords: providers.KeywordProvider | None = None, reviewer: providers.Review | None = None, id_col: str = "doc_id") -> DataFrame:
+def analyze(extracted: DataFrame, role: str | None = None, keywords: providers.KeywordProvider | None = None, reviewer: providers.Review | None = None, classifier: providers.Review | None = None, id_col: str = "doc_id") -> DataFrame:
     """Extracted texts (id, text, is_scanned, word_count, page_count) to scores and reviews.
 
-    The score is deterministic. Texts that are too short for an audit keep an error code and
-    a null score. Without a reviewer the status of the review says so.
+    The score is deterministic. Texts that a gate holds back (too short for an audit, or no
+    resume in the classifier's eyes) keep an error code and a null score. Without a reviewer
+    the status of the review says so; without a classifier all texts pass.
     """
     terms = (keywords or providers.StaticKeywords()).keywords(role)
     rows = extracted.withColumn("text", clean(F.col("text")))
     code = validate.content_status(F.col("text"), F.col("is_scanned"), F.col("word_count"))
     rows = rows.withColumn("error_code", F.when((code == "OK") & ~validate.audit_ready(F.col("word_count")), "TOO_SHORT_FOR_AUDIT").otherwise(code))
+    if classifier is not None:
+        rows = providers.classify(rows, provider=classifier)
+        refused = (F.col("error_code") == "OK") & (F.col("classifier_status") == "OK") & ~F.col("is_resume")
+        rows = rows.withColumn("error_code", F.when(refused, "NOT_A_RESUME").otherwise(F.col("error_code")))
     ready = rows.where("error_code = 'OK'")
     scored = scoring.score(ready, terms, id_col, "text", "page_count", "is_scanned")
     reviewed = providers.review(ready.select(id_col, "text"), role=role, provider=reviewer).drop("text")

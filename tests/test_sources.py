@@ -108,3 +108,5 @@ def test_pipeline_on_odd_rows(spark):
     ready = rows.selectExpr("doc_id", "raw_text as text", "is_scanned", "size(split(coalesce(raw_text, ''), ' ')) as word_count", "1 as page_count")
     scored = {r.doc_id: r for r in pipeline.analyze(ready).collect()}
     assert scored[4].score is not None and scored[1].score is None and len(scored) == 4
+    refused = {r.doc_id: r.error_code for r in pipeline.analyze(ready, classifier=lambda text, role: "letter").collect()}
+    assert refused[4] == "NOT_A_RESUME" and refused[1] == "EMPTY_DOCUMENT"
