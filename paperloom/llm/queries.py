@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from paperloom.llm import encoding, leaks, lookalike, names, neardup, pii, residue, scan, tokens
+from paperloom.functions.text import WS
 from paperloom.session import table
 
 
@@ -79,6 +80,13 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f fo
 _WORDS = "list_transform(regexp_extract_all(text, '[A-Za-z0-9]+'), lambda x: lower(x))"
 
 ORACLES: dict[str, str] = {
+    "p5_found": f"""
+        with w as (select doc_id, list_filter(regexp_split_to_array(lower(cleaned_text), '{WS}+'), lambda x: x <> '') as ws from parsed_resumes where cleaned_text is not null),
+        g as (select distinct doc_id, unnest(list_transform(range(1, len(ws) - 1), lambda i: array_to_string(ws[i:i + 2], chr(10)))) as s from w where len(ws) >= 3),
+        n as (select doc_id, count(*) as n from g group by 1),
+        c as (select a.doc_id as x, b.doc_id as y, count(*) as k from g a join g b on a.s = b.s and a.doc_id < b.doc_id group by 1, 2)
+        select x as doc_id_a, y as doc_id_b from c join n p on p.doc_id = x join n q on q.doc_id = y where k >= 0.6::double * (p.n + q.n - k)
+    """,
     "p9_found": f"""
         with d as (select doc_id, {_WORDS} as w from documents where text is not null),
         i as (select item_id, {_WORDS} as w from eval_items where text is not null),
