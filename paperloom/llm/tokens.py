@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import base64
 import heapq
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -24,6 +25,11 @@ LONG_WORD = 400
 #: Words kept with their ids in a Python worker; beyond it the store starts anew.
 WORD_STORE = 400_000
 
+#: Splitting patterns, and forms that split ASCII text alike but run in the faster engine.
+_ASCII_FORMS = {
+    r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+": r"'(?:[stmd]|re|ve|ll)| ?[A-Za-z]+| ?[0-9]+| ?[^\t-\r A-Za-z0-9]+|[\t-\r ]+(?![^\t-\r ])|[\t-\r ]+",
+}
+
 _NONE = np.iinfo(np.int64).max
 
 
@@ -44,6 +50,7 @@ class ByteBpe:
         self.keys = np.array(sorted(pairs), dtype=np.int64)
         self.merged = np.array([pairs[k] for k in self.keys.tolist()], dtype=np.int64)
         self.split = regex.compile(pattern).findall
+        self.split_ascii = re.compile(_ASCII_FORMS[pattern]).findall if pattern in _ASCII_FORMS else self.split
         self.store: dict[str, int] = {}
         self._reset()
 
@@ -151,8 +158,8 @@ class ByteBpe:
         """All ids in one array, and the offsets of the texts in it."""
         if len(self.store) > WORD_STORE:
             self._reset()
-        split = self.split
-        words = [split(t) if t else [] for t in texts]
+        split, split_ascii = self.split, self.split_ascii
+        words = [(split_ascii(t) if t.isascii() else split(t)) if t else [] for t in texts]
         fresh = set().union(*words) if words else set()
         fresh.difference_update(self.store)
         if fresh:

@@ -29,6 +29,15 @@ def test_ids_are_those_of_the_library(both):
         assert ids[ends[k] : ends[k + 1]].tolist() == known.encode_ordinary(text), repr(text[:40])
 
 
+def test_the_faster_form_splits_alike(both):
+    bpe, known = both
+    assert bpe.split_ascii is not bpe.split
+    rng = random.Random(8)
+    for _ in range(400):
+        text = "".join(rng.choice("ab 01'smdtrevl\n\t\r\x0b\x1c\x1f.,-_ ") for _ in range(rng.randrange(60)))
+        assert bpe.split_ascii(text) == bpe.split(text)
+
+
 def test_long_words_are_merged_alike(both, monkeypatch):
     bpe, known = both
     word = "".join(random.Random(1).choice("abcdefgh<>/=") for _ in range(3000))
