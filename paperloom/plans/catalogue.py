@@ -403,8 +403,9 @@ def ext_corpus_rollup(spark: SparkSession, sf: str) -> DataFrame:
 def ext_top_k(spark: SparkSession, sf: str) -> DataFrame:
     """An extension: the three best scores of each role; of equal ones the earlier."""
     s = table(spark, sf, "scores").dropDuplicates(["score_id"]).where("score is not null and target_role is not null")
-    ranked = s.withColumn("place", F.row_number().over(Window.partitionBy("target_role").orderBy(F.desc("score"), "score_id")) - 1).where("place < 3")
-    return ranked.select("target_role", F.col("place").cast("bigint").alias("place"), "score_id", F.col("score").cast("bigint").alias("score"))
+    # the rank is held against a number, so each task keeps three rows of a role before the shuffle
+    ranked = s.withColumn("rank", F.row_number().over(Window.partitionBy("target_role").orderBy(F.desc("score"), "score_id"))).where("rank <= 3")
+    return ranked.select("target_role", (F.col("rank") - 1).cast("bigint").alias("place"), "score_id", F.col("score").cast("bigint").alias("score"))
 
 
 from paperloom.plans.oracles import ORACLES  # noqa: E402
