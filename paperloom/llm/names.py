@@ -22,14 +22,15 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from paperloom.llm.leaks import pa_type
+from paperloom.session import checkpoint
 
 #: Radius of the metric join, wide enough for two swapped pairs of letters, and the slips accepted.
 RADIUS, SLIPS = 4, 2
 PIVOTS = 24
 #: Entries on which pivots are chosen at most; all entries are joined.
 PIVOT_SAMPLE = 4000
-#: Entries in one block of a cell.
-BLOCK = 500
+#: Entries in one block of a cell, and typed forms in one chunk of it; a block meets a chunk in one task.
+BLOCK, CHUNK = 500, 1000
 #: A word that stands in one of so many names is a word of its own, not a slip.
 TOKEN_SHARE = 10_000
 OWN_WORD = 0.15
@@ -183,6 +184,17 @@ def typed_forms(name: str | None) -> list[tuple[str, str]]:
 
 
 _ALPHABET = {c: i for i, c in enumerate(" abcdefghijklmnopqrstuvwxyz0123456789")}
+_CODES = np.full(128, 255, dtype=np.uint8)
+for _char, _code in _ALPHABET.items():
+    _CODES[ord(_char)] = _code
+
+
+def _plain(strings: list[str]) -> bool:
+    """Whether bit-parallel distances serve the strings."""
+    return all(len(s) <= 64 and s.isascii() and not _OTHER.search(s) for s in strings)
+
+
+_OTHER = re.compile(r"[^ a-z0-9]")
 
 
 class Bits:
@@ -191,9 +203,13 @@ class Bits:
     def __init__(self, strings: list[str]):
         self.sizes = np.array([len(s) for s in strings], dtype=np.int64)
         self.masks = np.zeros((len(_ALPHABET), len(strings)), dtype=np.uint64)
-        for k, s in enumerate(strings):
-            for i, c in enumerate(s):
-                self.masks[_ALPHABET[c], k] |= np.uint64(1 << i)
+        # one place of all strings at a time; those that are shorter have a code of their own there
+        width = int(self.sizes.max(initial=0))
+        codes = np.frombuffer("".join(s.ljust(width, "\x7f") for s in strings).encode("ascii"), dtype=np.uint8).reshape(len(strings), width)
+        codes, rows = _CODES[codes], np.arange(len(strings))
+        for i in range(width):
+            here = codes[:, i] < len(_ALPHABET)
+            self.masks[codes[here, i], rows[here]] |= np.uint64(1 << i)
 
     def to(self, other: str, rows: np.ndarray | None = None) -> np.ndarray:
         """Distances to ``other`` of all strings, or of those of the rows."""
@@ -227,18 +243,17 @@ def levenshtein(a: str, b: str) -> int:
     return last[-1]
 
 
-def distances(strings: list[str], other: str) -> np.ndarray:
-    """Levenshtein distances, of strings of any length and characters."""
-    out = np.zeros(len(strings), dtype=np.int64)
-    plain = [k for k, s in enumerate(strings) if len(s) <= 64 and all(c in _ALPHABET for c in s)]
-    if plain and all(c in _ALPHABET for c in other):
-        out[plain] = Bits([strings[k] for k in plain]).to(other)
-    else:
-        plain = []
-    fast = set(plain)
-    for k, s in enumerate(strings):
-        if k not in fast:
-            out[k] = levenshtein(s, other)
+def distances(strings: list[str], others: list[str]) -> np.ndarray:
+    """Levenshtein distances of all strings to all others, of any length and characters."""
+    out = np.zeros((len(strings), len(others)), dtype=np.int64)
+    fast = [k for k, s in enumerate(strings) if _plain([s])]
+    bits, slow = Bits([strings[k] for k in fast]) if fast else None, sorted(set(range(len(strings))) - set(fast))
+    for j, other in enumerate(others):
+        plain = bits is not None and not _OTHER.search(other)
+        if plain:
+            out[fast, j] = bits.to(other)
+        for k in slow if plain else range(len(strings)):
+            out[k, j] = levenshtein(strings[k], other)
     return out
 
 
@@ -248,91 +263,89 @@ def choose_pivots(forms: list[str], count: int = PIVOTS) -> list[str]:
         return []
     forms = sorted(set(forms))
     pivots = [forms[0]]
-    nearest = distances(forms, pivots[0])
+    nearest = distances(forms, pivots)[:, 0]
     while len(pivots) < min(count, len(forms)):
         far = int(nearest.argmax())
         if nearest[far] == 0:
             break
         pivots.append(forms[far])
-        nearest = np.minimum(nearest, distances(forms, forms[far]))
+        nearest = np.minimum(nearest, distances(forms, [forms[far]])[:, 0])
     return pivots
 
 
 def radius_join(left: DataFrame, right: DataFrame, radius: int = RADIUS) -> DataFrame:
-    """(left columns, right columns, distance): all pairs of forms of one sort within the radius.
+    """``left`` with the forms of ``right`` within the radius: see ``near_forms``."""
+    return left.join(near_forms(left, right, radius), ["form", "sort"])
 
-    ``left(name, form, sort)`` and ``right(entry, form, sort)``. Each right form lies in the
+
+def near_forms(left: DataFrame, right: DataFrame, radius: int = RADIUS) -> DataFrame:
+    """(form, sort, entry, entry_form, distance): all pairs of different forms of one sort within the radius.
+
+    ``left(form, sort)`` and ``right(entry, form, sort)``. Each right form lies in the
     cell of its nearest pivot p; a left form q can have partners there only if
     d(q, p) - d(q, nearest pivot) <= 2 * radius, so it is sent to just those cells. Cells
     are cut into blocks, so none is held by one task, and forms whose distances to the
-    pivot differ by more than the radius are not compared.
+    pivot differ by more than the radius are not compared. Left forms are read in chunks,
+    so a hot cell makes many rows of bounded size, which are dealt out evenly.
     """
     spark = left.sparkSession
     sample = [r[0] for r in right.select("form").distinct().orderBy(F.xxhash64("form")).limit(PIVOT_SAMPLE).collect()]
     pivots = choose_pivots(sample)
     entry_type = right.schema["entry"].dataType
-
-    def place(forms: list[str]) -> np.ndarray:
-        return np.array([distances(forms, p) for p in pivots]).T.reshape(len(forms), len(pivots))
+    schema = T.StructType([T.StructField("form", T.StringType()), T.StructField("sort", T.StringType()), T.StructField("entry", entry_type), T.StructField("entry_form", T.StringType()), T.StructField("distance", T.IntegerType())])
+    if not pivots:
+        return spark.createDataFrame([], schema)
 
     def own_cell(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if batch.num_rows:
-                far = place(batch.column(1).to_pylist())
+                far = distances(batch.column(1).to_pylist(), pivots)
                 cell = far.argmin(axis=1)
                 yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(cell, pa.int32()), pa.array(far[np.arange(len(cell)), cell], pa.int32())], names=["entry", "form", "sort", "cell", "far"])
 
     def all_cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if batch.num_rows:
-                far = place(batch.column(0).to_pylist())
+                far = distances(batch.column(0).to_pylist(), pivots)
                 row, cell = np.nonzero(far - far.min(axis=1, keepdims=True) <= 2 * radius)
                 part = batch.take(pa.array(row, pa.int32()))
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(cell, pa.int32()), pa.array(far[row, cell], pa.int32())], names=["form", "sort", "cell", "far"])
 
     entries = right.select("entry", "form", "sort").mapInArrow(own_cell, T.StructType([T.StructField("entry", entry_type), *(T.StructField(n, t) for n, t in (("form", T.StringType()), ("sort", T.StringType()), ("cell", T.IntegerType()), ("far", T.IntegerType())))]))
-    # blocks of a cell: forms go to one of them by hash, so that a block has about BLOCK forms
-    sizes = entries.groupBy("cell").agg(F.ceil(F.count("*") / BLOCK).alias("blocks"))
-    blocks = entries.join(F.broadcast(sizes), "cell").withColumn("block", F.pmod(F.xxhash64("form"), "blocks")).groupBy("cell", "sort", "block").agg(F.collect_list(F.struct("entry", "form", "far")).alias("entries"))
-    typed = left.select("form", "sort").distinct().mapInArrow(all_cells, "form string, sort string, cell int, far int")
-    met = typed.join(blocks, ["cell", "sort"]).select("form", "sort", "far", "cell", "block", "entries")
-    schema = T.StructType([T.StructField("form", T.StringType()), T.StructField("sort", T.StringType()), T.StructField("entry", entry_type), T.StructField("entry_form", T.StringType()), T.StructField("distance", T.IntegerType())])
+    def grouped(rows: DataFrame, size: int, columns: list[str], name: str) -> DataFrame:
+        """Rows of a cell in lists of about ``size``; a row goes to one of them by its form's hash."""
+        counts = rows.groupBy("cell", "sort").agg(F.ceil(F.count("*") / size).alias("parts"))
+        placed = rows.join(counts, ["cell", "sort"]).withColumn("part", F.pmod(F.xxhash64("form"), "parts"))
+        return placed.groupBy("cell", "sort", "part").agg(F.collect_list(F.struct(*columns)).alias(name)).drop("part")
+
+    tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    different = left.select("form", "sort").repartition(tasks, "form", "sort").distinct()
+    typed = checkpoint(different.mapInArrow(all_cells, "form string, sort string, cell int, far int"))
+    blocks = grouped(entries, BLOCK, ["entry", "form", "far"], "entries")
+    chunks = grouped(typed, CHUNK, ["form", "far"], "forms")
+    met = chunks.join(blocks, ["cell", "sort"]).select("sort", "forms", "entries").repartition(tasks)
     entry_arrow = pa_type(entry_type)
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            if not batch.num_rows:
-                continue
-            forms, fars = batch.column(0).to_pylist(), np.array(batch.column(2).to_pylist())
-            keys = list(zip(batch.column(3).to_pylist(), batch.column(1).to_pylist(), batch.column(4).to_pylist()))
-            members: dict[tuple, list[int]] = {}
-            for k, key in enumerate(keys):
-                members.setdefault(key, []).append(k)
-            out: list[tuple] = []
-            for rows in members.values():
-                block = batch.column(5)[rows[0]].as_py()
-                here = [forms[k] for k in rows]
-                far, size = fars[rows], np.array([len(f) for f in here])
-                plain = all(len(f) <= 64 and all(c in _ALPHABET for c in f) for f in here)
-                bits = Bits(here) if plain else None
+            for row in range(batch.num_rows):
+                sort, forms, block = (batch.column(i)[row].as_py() for i in range(3))
+                here = [x["form"] for x in forms]
+                far, size = np.array([x["far"] for x in forms]), np.array([len(f) for f in here])
+                bits = Bits(here) if _plain(here) else None
+                found: list[tuple] = []
                 for item in block:
                     own = item["form"]
                     near = np.flatnonzero((np.abs(far - item["far"]) <= radius) & (np.abs(size - len(own)) <= radius))
                     if not len(near):
                         continue
-                    if bits is not None and all(c in _ALPHABET for c in own):
-                        d = bits.to(own, near)
-                    else:
-                        d = np.array([levenshtein(here[k], own) for k in near.tolist()])
-                    for k, x in zip(near.tolist(), d.tolist()):
-                        if x <= radius:
-                            out.append((here[k], keys[rows[0]][1], item["entry"], own, x))
-            columns = list(zip(*out)) if out else [[]] * 5
-            yield pa.RecordBatch.from_arrays([pa.array(columns[0], pa.string()), pa.array(columns[1], pa.string()), pa.array(columns[2], entry_arrow), pa.array(columns[3], pa.string()), pa.array(columns[4], pa.int32())], names=schema.names)
+                    d = bits.to(own, near) if bits is not None and not _OTHER.search(own) else distances([here[k] for k in near.tolist()], [own])[:, 0]
+                    for k in np.flatnonzero(d <= radius).tolist():
+                        found.append((here[near[k]], sort, item["entry"], own, int(d[k])))
+                columns = list(zip(*found)) if found else [[]] * 5
+                yield pa.RecordBatch.from_arrays([pa.array(columns[0], pa.string()), pa.array(columns[1], pa.string()), pa.array(columns[2], entry_arrow), pa.array(columns[3], pa.string()), pa.array(columns[4], pa.int32())], names=schema.names)
 
-    if not pivots:
-        return spark.createDataFrame([], T.StructType([T.StructField("name", T.StringType()), *schema.fields]))
-    return left.join(met.mapInArrow(compare, schema), ["form", "sort"])
+    return met.mapInArrow(compare, schema)
 
 
 def _token_counts(names: DataFrame) -> dict[str, int]:
@@ -397,17 +410,19 @@ def link(names: DataFrame, entries: DataFrame, name_col: str = "name", entry_id:
     kind = F.col(kind_col).cast("string") if kind_col else F.lit(None).cast("string")
     right = entries.select(F.col(entry_id).alias("entry"), F.col(entry_name).cast("string"), kind.alias("kind")).mapInArrow(right_forms, T.StructType([T.StructField("entry", entry_type), T.StructField("form", T.StringType()), T.StructField("sort", T.StringType())]))
     left = typed.select("name").mapInArrow(left_forms, "name string, form string, sort string")
-    near = radius_join(left, right)
+    left = checkpoint(left)
+    near = near_forms(left, right)
 
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [_slips_of(f, o, s, counts.value) for f, o, s in zip(*(batch.column(i).to_pylist() for i in (2, 3, 4)))]
+            found = [_slips_of(f, o, s, counts.value) for f, o, s in zip(*(batch.column(i).to_pylist() for i in (0, 3, 1)))]
             keep = [i for i, x in enumerate(found) if x is not None]
             rows = pa.array(keep, pa.int32())
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(rows), batch.column(1).take(rows), pa.array([found[i] for i in keep], pa.int32())], names=["name", "entry", "slips"])
+            yield pa.RecordBatch.from_arrays([*(batch.column(i).take(rows) for i in (0, 1, 2)), pa.array([found[i] for i in keep], pa.int32())], names=["form", "sort", "entry", "slips"])
 
-    judged = near.select("name", "entry", "form", "entry_form", "sort").mapInArrow(judge, T.StructType([T.StructField("name", T.StringType()), T.StructField("entry", entry_type), T.StructField("slips", T.IntegerType())]))
-    each = judged.groupBy("name", "entry").agg(F.min("slips").alias("slips"))
+    # forms are judged in the tasks that found them, before the names that share them are joined
+    judged = near.select("form", "sort", "entry", "entry_form").mapInArrow(judge, T.StructType([T.StructField("form", T.StringType()), T.StructField("sort", T.StringType()), T.StructField("entry", entry_type), T.StructField("slips", T.IntegerType())]))
+    each = left.join(judged, ["form", "sort"]).groupBy("name", "entry").agg(F.min("slips").alias("slips"))
     # entries within the radius of one name are few, so its list is short
     best = each.groupBy("name").agg(F.array_sort(F.collect_list(F.struct("slips", "entry"))).alias("best"))
     clear = (F.size("best") == 1) | (F.element_at("best", 1)["slips"] < F.try_element_at("best", F.lit(2))["slips"])

@@ -47,8 +47,9 @@ def test_radius_join_is_the_brute_force(spark):
 def test_bit_parallel_distances():
     rng = random.Random(2)
     strings = ["".join(rng.choice("abcd ") for _ in range(rng.randrange(0, 64))) for _ in range(60)] + ["x" * 80, "é"]
-    for other in ("", "abc d", "a" * 64, "dcba" * 20):
-        assert names.distances(strings, other).tolist() == [names.levenshtein(s, other) for s in strings]
+    others = ["", "abc d", "a" * 64, "dcba" * 20, "é b"]
+    assert names.distances(strings, others).tolist() == [[names.levenshtein(s, o) for o in others] for s in strings]
+    assert names.distances([], others).shape == (0, 5) and names.distances([""], [""]).tolist() == [[0]]
 
 
 def test_slips():
