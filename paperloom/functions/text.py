@@ -7,10 +7,14 @@ any script.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 WS = r"[\t-\r\x{1c}-\x{20}\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
+#: The same characters as a string.
+WS_CHARS = "".join(map(chr, [*range(9, 14), *range(0x1C, 0x21), 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]))
 #: The same characters without the brackets, for use in a larger class.
 WS_IN = WS[1:-1]
 WORD = r"[\p{L}\p{N}_]"
@@ -22,7 +26,12 @@ METRIC = rf"{DIGIT}+(?:\.{DIGIT}+)?{WS}?%|[$€£]{WS}?{DIGIT}[{DIGIT},]*|(?:^|{
 
 def trim(c: Column) -> Column:
     """Without white space of any kind at the ends."""
-    return F.regexp_replace(c, rf"^{WS}+|{WS}+\z", "")
+    return F.btrim(c, F.lit(WS_CHARS))
+
+
+def let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)`` with the value worked out once, however often it is used."""
+    return F.element_at(F.transform(F.array(value), use), 1)
 
 
 def lines(c: Column) -> Column:
@@ -101,13 +110,16 @@ def matched_terms(c: Column, terms: list[str]) -> Column:
 
     One pass splits the text into words for the plain terms; only the others are searched.
     """
-    low = F.lower(F.coalesce(c, F.lit("")))
     plain = [t for t in dict.fromkeys(terms) if is_plain(t)]
     rest = [t for t in dict.fromkeys(terms) if t and not is_plain(t)]
-    found = F.array_intersect(F.split(low, f"{NOT_WORD}+"), F.array(*map(F.lit, plain)).cast("array<string>"))
-    if rest:
-        found = F.concat(found, F.filter(F.array(*[F.when(low.rlike(bounded(t)), F.lit(t)) for t in rest]), lambda x: x.isNotNull()))
-    return F.array_sort(F.array_distinct(found))
+
+    def found(low: Column) -> Column:
+        tokens = F.array_intersect(F.split(low, f"{NOT_WORD}+"), F.array(*map(F.lit, plain)).cast("array<string>"))
+        # a pattern is tried only where its term stands at all
+        others = [F.when(F.contains(low, F.lit(t)) & low.rlike(bounded(t)), F.lit(t)) for t in rest]
+        return F.concat(tokens, F.filter(F.array(*others), lambda x: x.isNotNull())) if rest else tokens
+
+    return F.array_sort(F.array_distinct(let(F.lower(F.coalesce(c, F.lit(""))), found)))
 
 
 def half_even(c: Column, low: int, high: int) -> Column:

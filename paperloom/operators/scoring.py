@@ -33,8 +33,9 @@ def parsing(is_scanned: Column, words: Column, pages: Column) -> Column:
     return F.when(F.coalesce(is_scanned, F.lit(False)), 0).otherwise(2) + F.when(words >= L.FULL_WORDS, 2).when(words >= L.SOME_WORDS, 1).otherwise(0) + F.when(dense, 1).otherwise(0)
 
 
-def structure_evidence(text: Column) -> dict[str, Column]:
-    own = lines(text)
+def structure_evidence(text: Column, own: Column | None = None) -> dict[str, Column]:
+    """Counts and shares of blocks and bullets. ``own`` are the text's lines, where they are at hand."""
+    own = lines(text) if own is None else own
     blocks, count = block_count(text), F.size(own)
     bullets = F.size(F.filter(own, has_bullet))
     return {
@@ -47,8 +48,8 @@ def structure(e: dict[str, Column]) -> Column:
     return half_even(L.BLOCK_POINTS * e["block_ratio"] + L.BULLET_POINTS * e["bullet_ratio"], 0, 20)
 
 
-def formatting_evidence(text: Column) -> dict[str, Column]:
-    own = lines(text)
+def formatting_evidence(text: Column, own: Column | None = None) -> dict[str, Column]:
+    own = lines(text) if own is None else own
     count = F.size(own)
     total = F.aggregate(own, F.lit(0).cast("long"), lambda acc, x: acc + F.length(x))
     average = _share(total, count)
@@ -90,8 +91,8 @@ def opens_with_verb(line: Column) -> Column:
     return first.isin(L.ACTION_VERBS)
 
 
-def achievements_evidence(text: Column) -> dict[str, Column]:
-    own = lines(text)
+def achievements_evidence(text: Column, own: Column | None = None) -> dict[str, Column]:
+    own = lines(text) if own is None else own
     count = F.size(own)
     metrics, verbs = F.size(F.filter(own, lambda x: x.rlike(METRIC))), F.size(F.filter(own, opens_with_verb))
     return {
@@ -129,15 +130,34 @@ def score(df: DataFrame, terms: list[str], id_col: str = "doc_id", text_col: str
         F.col(id_col), F.coalesce(F.col(text_col), F.lit("")).alias("text"), (F.col(pages_col) if pages_col else F.lit(1)).alias("pages"),
         (F.col(scanned_col) if scanned_col else F.lit(False)).alias("scanned"),
     ).join(wide, id_col, "left")
-    text = F.col("text")
-    # evidence is laid down column by column, so that no expression is computed twice
-    evidence = {
+    text, lines_ = F.col("text"), F.col("own")
+    # evidence is laid down step by step, so that nothing is worked out twice: the lines of a
+    # text, what is counted in them, and the shares of the counts
+    own = own.withColumn("own", lines(text))
+    found = {
         "email_present": entities.email(text).isNotNull(), "phone_present": entities.phone(text).isNotNull(), "linkedin_present": entities.link(text, entities.LINKEDIN).isNotNull(),
         "github_present": entities.link(text, entities.GITHUB).isNotNull(), "work_experience_present": entities.has_experience(F.col("s_experience")), "education_present": entities.has_education(F.col("s_education")),
-        "skills_present": F.size(entities.skills(text)) > 0, "word_count": word_count(text),
+        "skills_present": F.size(entities.skills(text)) > 0, "word_count": word_count(text), "matched_keywords": keywords_evidence(text, terms)["matched_keywords"],
     }
-    evidence |= structure_evidence(text) | formatting_evidence(text) | keywords_evidence(text, terms) | achievements_evidence(text)
-    rows = own.select(id_col, "pages", "scanned", *[c.alias(k) for k, c in evidence.items()])
+    counted = structure_evidence(text, lines_) | formatting_evidence(text, lines_) | achievements_evidence(text, lines_)
+    counts = ("block_count", "bullet_count", "total_content_lines", "long_line_count", "metric_hits", "verb_hits")
+    total_length = F.aggregate(lines_, F.lit(0).cast("long"), lambda acc, x: acc + F.length(x))
+    rows = own.select(id_col, "pages", "scanned", (text == "").alias("_blank"), total_length.alias("_length"), *[c.alias(k) for k, c in found.items()], *[counted[k].alias(k) for k in counts])
+    c = {k: F.col(k) for k in counts}
+    n, every = c["total_content_lines"], F.array(*map(F.lit, sorted({t.lower() for t in terms if t}))).cast("array<string>")
+    average, share = _share(F.col("_length"), n), _share(c["long_line_count"], n)
+    band = F.when(average < L.LEAST_LENGTH, float(L.LEAST_LENGTH)).otherwise(float(L.MOST_LENGTH))
+    shares = {
+        "block_ratio": F.least(F.lit(1.0), c["block_count"] / F.lit(float(L.FULL_BLOCKS))), "bullet_ratio": F.least(F.lit(1.0), _share(c["bullet_count"], n) / L.FULL_BULLETS),
+        "avg_line_length": average, "long_line_ratio": share,
+        "length_ratio": F.when(n == 0, 0.0).when(average.between(L.LEAST_LENGTH, L.MOST_LENGTH), 1.0).otherwise(F.greatest(F.lit(0.0), 1 - F.abs(average - band) / band)),
+        "long_line_score_ratio": F.when(n == 0, 0.0).otherwise(F.greatest(F.lit(0.0), 1 - share / L.MOST_LONG)),
+        "achievement_total_lines": n, "metric_ratio": F.least(F.lit(1.0), _share(c["metric_hits"], n) / L.FULL_METRICS), "verb_ratio": F.least(F.lit(1.0), _share(c["verb_hits"], n) / L.FULL_VERBS),
+        "missing_keywords": F.when(F.col("_blank"), F.array().cast("array<string>")).otherwise(F.array_sort(F.array_except(every, "matched_keywords"))), "total_keywords": F.when(F.col("_blank"), 0).otherwise(len({t.lower() for t in terms if t})),
+        "match_count": F.size("matched_keywords"), "coverage_ratio": F.size("matched_keywords") / F.lit(float(max(1, len({t.lower() for t in terms if t})))),
+    }
+    rows = rows.select("*", *[v.alias(k) for k, v in shares.items()])
+    evidence = [*found, *counts, *shares]
     e = {k: F.col(k) for k in evidence}
     flag = lambda k: F.when(e[k], "x").otherwise("")
     parts = {

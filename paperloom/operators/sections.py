@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from paperloom.functions import lexicon as L
-from paperloom.functions.text import NOT_WORD, WS, lines, trim, word_count, words
+from paperloom.functions.text import NOT_WORD, WS, let, lines, trim, word_count, words
 
 
 def _quote(term: str) -> str:
@@ -25,6 +25,14 @@ def heading_pattern(headings: list[str], ends: bool = True) -> str:
     return rf"(?s)^(?:{any_of})(?: .*)?\z" + (rf"|^.* (?:{any_of})\z" if ends else "")
 
 
+def is_heading(upper: Column, headings: list[str], ends: bool = True) -> Column:
+    """The same test by plain string comparisons, which are faster than the pattern."""
+    tests = [upper.isin(headings), *[F.startswith(upper, F.lit(h + " ")) for h in headings]]
+    if ends:
+        tests += [F.endswith(upper, F.lit(" " + h)) for h in headings]
+    return reduce(lambda a, b: a | b, tests)
+
+
 def secondary_pattern(name: str) -> str:
     """A line that begins with the heading of a secondary section."""
     lead = L._LEAD.replace("{ws}", WS)
@@ -54,7 +62,7 @@ def split_appending(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     A heading's own line is dropped, whatever else it holds. Sections without text give no row.
     """
     rows = _exploded(df, id_col, text_col).withColumn("upper", F.upper(trim(F.col("line"))))
-    rows = rows.withColumn("heading", _first([(name, F.col("upper").rlike(heading_pattern(h))) for name, h in L.SECTIONS.items()]))
+    rows = rows.withColumn("heading", _first([(name, is_heading(F.col("upper"), h)) for name, h in L.SECTIONS.items()]))
     so_far = Window.partitionBy("id").orderBy("pos").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     rows = rows.withColumn("section", F.coalesce(F.last("heading", ignorenulls=True).over(so_far), F.lit("HEADER"))).where("heading is null")
     out = rows.groupBy("id", "section").agg(_joined("pos", "line").alias("section_text"))
@@ -88,8 +96,8 @@ def summary_inline(text: Column) -> Column:
     own = lines(F.coalesce(text, F.lit("")))
     at = F.array_position(F.transform(own, lambda x: x.rlike(INLINE_SUMMARY_PATTERN)), True)
     rest = F.slice(own, (at + 1).cast("int"), F.size(own))
-    any_heading = heading_pattern([h for hs in L.SECTIONS.values() for h in hs], ends=False)
-    stop = F.array_position(F.transform(rest, lambda x: F.upper(x).rlike(any_heading)), True)
+    headings = [h for hs in L.SECTIONS.values() for h in hs]
+    stop = F.array_position(F.transform(rest, lambda x: let(F.upper(x), lambda u: is_heading(u, headings, ends=False))), True)
     follow = F.when(stop > 0, F.slice(rest, 1, (stop - 1).cast("int"))).otherwise(rest)
     own_rest = trim(F.regexp_replace(F.try_element_at(own, at.cast("int")), INLINE_SUMMARY_PATTERN, ""))
     whole = F.concat(F.filter(F.array(own_rest), lambda x: x != ""), follow)
@@ -108,8 +116,11 @@ def completeness(text: Column) -> dict[str, Column]:
     text = F.coalesce(text, F.lit(""))
     contact = rf"[\p{{L}}\p{{N}}_.\-]+@[\p{{L}}\p{{N}}_.\-]+\.[\p{{L}}\p{{N}}_]+|\+?\p{{Nd}}[\p{{Nd}} \-]{{8,}}\p{{Nd}}"
     flags = {"contact_info": text.rlike(contact)}
+    low = F.lower(text)
     for name, terms in L.PRIMARY.items():
-        flags[name] = text.rlike(rf"(?i)(?:^|{NOT_WORD})(?:{'|'.join(terms)})(?:\z|{NOT_WORD})")
+        # a pattern is tried only where one of its terms stands at all
+        some = reduce(lambda a, b: a | b, [F.contains(low, F.lit(t)) for t in terms])
+        flags[name] = some & low.rlike(rf"(?:^|{NOT_WORD})(?:{'|'.join(terms)})(?:\z|{NOT_WORD})")
     for name in ("certifications", "languages", "awards", "publications", "interests", "references"):
         flags[name] = text.rlike(secondary_pattern(name).replace("(?i)^", r"(?i)(?:\A|\n)", 1))
     return {k: flags[k] for k in L.FLAGS}
