@@ -33,37 +33,41 @@ def parsing(is_scanned: Column, words: Column, pages: Column) -> Column:
     return F.when(F.coalesce(is_scanned, F.lit(False)), 0).otherwise(2) + F.when(words >= L.FULL_WORDS, 2).when(words >= L.SOME_WORDS, 1).otherwise(0) + F.when(dense, 1).otherwise(0)
 
 
+def structure_shares(blocks: Column, bullets: Column, count: Column) -> dict[str, Column]:
+    return {"block_ratio": F.least(F.lit(1.0), blocks / F.lit(float(L.FULL_BLOCKS))), "bullet_ratio": F.least(F.lit(1.0), _share(bullets, count) / L.FULL_BULLETS)}
+
+
 def structure_evidence(text: Column, own: Column | None = None) -> dict[str, Column]:
     """Counts and shares of blocks and bullets. ``own`` are the text's lines, where they are at hand."""
     own = lines(text) if own is None else own
-    blocks, count = block_count(text), F.size(own)
-    bullets = F.size(F.filter(own, has_bullet))
-    return {
-        "block_count": blocks, "block_ratio": F.least(F.lit(1.0), blocks / F.lit(float(L.FULL_BLOCKS))), "bullet_count": bullets, "total_content_lines": count,
-        "bullet_ratio": F.least(F.lit(1.0), _share(bullets, count) / L.FULL_BULLETS),
-    }
+    blocks, bullets, count = block_count(text), F.size(F.filter(own, has_bullet)), F.size(own)
+    return {"block_count": blocks, "bullet_count": bullets, "total_content_lines": count, **structure_shares(blocks, bullets, count)}
 
 
 def structure(e: dict[str, Column]) -> Column:
     return half_even(L.BLOCK_POINTS * e["block_ratio"] + L.BULLET_POINTS * e["bullet_ratio"], 0, 20)
 
 
-def formatting_evidence(text: Column, own: Column | None = None) -> dict[str, Column]:
-    own = lines(text) if own is None else own
-    count = F.size(own)
-    total = F.aggregate(own, F.lit(0).cast("long"), lambda acc, x: acc + F.length(x))
-    average = _share(total, count)
+def formatting_shares(length: Column, long_lines: Column, count: Column) -> dict[str, Column]:
+    average, share = _share(length, count), _share(long_lines, count)
     band = F.when(average < L.LEAST_LENGTH, float(L.LEAST_LENGTH)).otherwise(float(L.MOST_LENGTH))
-    long_lines = F.size(F.filter(own, lambda x: F.length(x) > L.LONG_LINE))
-    share = _share(long_lines, count)
-    some = count > 0
     return {
-        "avg_line_length": average, "long_line_count": long_lines, "long_line_ratio": share,
-        "length_ratio": F.when(~some, 0.0).when(average.between(L.LEAST_LENGTH, L.MOST_LENGTH), 1.0).otherwise(F.greatest(F.lit(0.0), 1 - F.abs(average - band) / band)),
-        "long_line_score_ratio": F.when(~some, 0.0).otherwise(F.greatest(F.lit(0.0), 1 - share / L.MOST_LONG)),
+        "avg_line_length": average, "long_line_ratio": share,
+        "length_ratio": F.when(count == 0, 0.0).when(average.between(L.LEAST_LENGTH, L.MOST_LENGTH), 1.0).otherwise(F.greatest(F.lit(0.0), 1 - F.abs(average - band) / band)),
+        "long_line_score_ratio": F.when(count == 0, 0.0).otherwise(F.greatest(F.lit(0.0), 1 - share / L.MOST_LONG)),
     }
 
 
+def total_length(own: Column) -> Column:
+    return F.aggregate(own, F.lit(0).cast("long"), lambda acc, x: acc + F.length(x))
+
+
+def formatting_evidence(text: Column, own: Column | None = None) -> dict[str, Column]:
+    own = lines(text) if own is None else own
+    long_lines = F.size(F.filter(own, lambda x: F.length(x) > L.LONG_LINE))
+    return {"long_line_count": long_lines, **formatting_shares(total_length(own), long_lines, F.size(own))}
+
+
 def formatting(e: dict[str, Column]) -> Column:
     return half_even(L.LENGTH_POINTS * e["length_ratio"] + L.LONG_POINTS * e["long_line_score_ratio"], 0, 15)
 
@@ -91,14 +95,14 @@ def opens_with_verb(line: Column) -> Column:
     return first.isin(L.ACTION_VERBS)
 
 
+def achievement_shares(metrics: Column, verbs: Column, count: Column) -> dict[str, Column]:
+    return {"metric_ratio": F.least(F.lit(1.0), _share(metrics, count) / L.FULL_METRICS), "verb_ratio": F.least(F.lit(1.0), _share(verbs, count) / L.FULL_VERBS)}
+
+
 def achievements_evidence(text: Column, own: Column | None = None) -> dict[str, Column]:
     own = lines(text) if own is None else own
-    count = F.size(own)
-    metrics, verbs = F.size(F.filter(own, lambda x: x.rlike(METRIC))), F.size(F.filter(own, opens_with_verb))
-    return {
-        "metric_hits": metrics, "verb_hits": verbs, "achievement_total_lines": count,
-        "metric_ratio": F.least(F.lit(1.0), _share(metrics, count) / L.FULL_METRICS), "verb_ratio": F.least(F.lit(1.0), _share(verbs, count) / L.FULL_VERBS),
-    }
+    metrics, verbs, count = F.size(F.filter(own, lambda x: x.rlike(METRIC))), F.size(F.filter(own, opens_with_verb)), F.size(own)
+    return {"metric_hits": metrics, "verb_hits": verbs, "achievement_total_lines": count, **achievement_shares(metrics, verbs, count)}
 
 
 def achievements(e: dict[str, Column]) -> Column:
@@ -141,20 +145,14 @@ def score(df: DataFrame, terms: list[str], id_col: str = "doc_id", text_col: str
     }
     counted = structure_evidence(text, lines_) | formatting_evidence(text, lines_) | achievements_evidence(text, lines_)
     counts = ("block_count", "bullet_count", "total_content_lines", "long_line_count", "metric_hits", "verb_hits")
-    total_length = F.aggregate(lines_, F.lit(0).cast("long"), lambda acc, x: acc + F.length(x))
-    rows = own.select(id_col, "pages", "scanned", (text == "").alias("_blank"), total_length.alias("_length"), *[c.alias(k) for k, c in found.items()], *[counted[k].alias(k) for k in counts])
+    rows = own.select(id_col, "pages", "scanned", (text == "").alias("_blank"), total_length(lines_).alias("_length"), *[c.alias(k) for k, c in found.items()], *[counted[k].alias(k) for k in counts])
     c = {k: F.col(k) for k in counts}
-    n, every = c["total_content_lines"], F.array(*map(F.lit, sorted({t.lower() for t in terms if t}))).cast("array<string>")
-    average, share = _share(F.col("_length"), n), _share(c["long_line_count"], n)
-    band = F.when(average < L.LEAST_LENGTH, float(L.LEAST_LENGTH)).otherwise(float(L.MOST_LENGTH))
-    shares = {
-        "block_ratio": F.least(F.lit(1.0), c["block_count"] / F.lit(float(L.FULL_BLOCKS))), "bullet_ratio": F.least(F.lit(1.0), _share(c["bullet_count"], n) / L.FULL_BULLETS),
-        "avg_line_length": average, "long_line_ratio": share,
-        "length_ratio": F.when(n == 0, 0.0).when(average.between(L.LEAST_LENGTH, L.MOST_LENGTH), 1.0).otherwise(F.greatest(F.lit(0.0), 1 - F.abs(average - band) / band)),
-        "long_line_score_ratio": F.when(n == 0, 0.0).otherwise(F.greatest(F.lit(0.0), 1 - share / L.MOST_LONG)),
-        "achievement_total_lines": n, "metric_ratio": F.least(F.lit(1.0), _share(c["metric_hits"], n) / L.FULL_METRICS), "verb_ratio": F.least(F.lit(1.0), _share(c["verb_hits"], n) / L.FULL_VERBS),
-        "missing_keywords": F.when(F.col("_blank"), F.array().cast("array<string>")).otherwise(F.array_sort(F.array_except(every, "matched_keywords"))), "total_keywords": F.when(F.col("_blank"), 0).otherwise(len({t.lower() for t in terms if t})),
-        "match_count": F.size("matched_keywords"), "coverage_ratio": F.size("matched_keywords") / F.lit(float(max(1, len({t.lower() for t in terms if t})))),
+    n, every = c["total_content_lines"], sorted({t.lower() for t in terms if t})
+    listed = F.array(*map(F.lit, every)).cast("array<string>")
+    shares = structure_shares(c["block_count"], c["bullet_count"], n) | formatting_shares(F.col("_length"), c["long_line_count"], n) | achievement_shares(c["metric_hits"], c["verb_hits"], n)
+    shares |= {
+        "achievement_total_lines": n, "missing_keywords": F.when(F.col("_blank"), F.array().cast("array<string>")).otherwise(F.array_sort(F.array_except(listed, "matched_keywords"))),
+        "total_keywords": F.when(F.col("_blank"), 0).otherwise(len(every)), "match_count": F.size("matched_keywords"), "coverage_ratio": F.size("matched_keywords") / F.lit(float(max(1, len(every)))),
     }
     rows = rows.select("*", *[v.alias(k) for k, v in shares.items()])
     evidence = [*found, *counts, *shares]
