@@ -143,15 +143,32 @@ def furniture(lines: list[str]) -> set[int]:
 
 
 class Reader:
-    """Finds and repairs the noise of one text, given the vocabulary of the corpus."""
+    """Finds and repairs the noise of one text, given the vocabulary of the corpus.
 
-    def __init__(self, words: dict[str, int], texts: int):
+    ``wrong`` are the words of the vocabulary that are misread forms themselves. They are
+    worked out where they are not given; this takes a look-up of each word.
+    """
+
+    def __init__(self, words: dict[str, int], texts: int, wrong: frozenset[str] | None = None):
         self.counts = words
         self.least = max(3, texts / 2000)
+        #: counts whatever the case: a name may well be a common word, and a misread form stands at the head of a line too
+        self.folded: Counter[str] = Counter()
+        for w, n in words.items():
+            self.folded[w.lower()] += n
+        self.store: dict[str, list[tuple[str, int, int]]] = {}
+        if wrong is None:
+            self._fill(words)
+            wrong = frozenset(w for w in words if self.meant(w))
+            self.store.clear()
+        self.wrong = wrong
+        self.right = words.keys() - wrong
+        self._fill({w: n for w, n in words.items() if w not in wrong})
+
+    def _fill(self, words: dict[str, int]) -> None:
         self.words = {w: n for w, n in words.items() if w.isalpha() and len(w) >= 3}
         self.lower = {w.lower() for w in self.words}
         self.trie = Trie(self.words)
-        self.store: dict[str, list[tuple[str, int, int]]] = {}
 
     def meant(self, token: str) -> list[tuple[str, int, int]]:
         """Words of the vocabulary that scanning could have turned into the token."""
@@ -166,8 +183,6 @@ class Reader:
         letters = sum(c.isalpha() for c in token)
         if len(token) < 4 or letters < 3 or letters < 0.5 * len(token) or len(token) > 40:
             return []
-        if self.counts.get(token, 0) >= self.least or token.lower() in self.lower:
-            return []
         found = self.trie.within(token, MOST_ERRORS, _SWAPS, edits=False)
         if not found and token[0].isupper() and not token.isupper():
             small = token[0].lower() + token[1:]
@@ -176,23 +191,27 @@ class Reader:
             found = [(w[0].lower() + w[1:], c, n) for w, c, n in self.trie.within(token[0].upper() + token[1:], MOST_ERRORS, _SWAPS, edits=False) if w[1:].islower()]
         if not found and token.isupper():
             pass
-        rare = self.counts.get(token, 0) + 1
-        return [(w, c, n) for w, c, n in found if n >= RATIO * min(rare, self.least) / 3 and n >= 2 * rare]
+        count = self.folded.get(token.lower(), 0)
+        if count:  # the vocabulary has the token: a word of its own, or a misreading that is frequent
+            return [(w, c, n) for w, c, n in found if self.folded[w.lower()] >= RATIO * count]
+        return [(w, c, n) for w, c, n in found if n >= RATIO / 3]
 
     def misread(self, text: str) -> list[tuple[int, int, str, bool]]:
         """(from, to, word, sure) of misread tokens. Of several words the best in context stands."""
         out = []
-        known, own = self.counts, None
+        right, own = self.right, None
         for m in _TOKEN.finditer(text):
             token = m.group()
-            if known.get(token, 0) >= self.least or len(token) < 4 or token.isdigit():
+            if token in right or len(token) < 4 or token.isdigit():
                 continue
             begin, end = m.span()
             if "@" in token and (text[end : end + 1] == "." or begin and text[begin - 1] in "._-+<" or end < len(text) and text[end] in "-" and "@" in token[-4:]):
                 continue  # a mail address
             stripped = token.rstrip("!+$|")
-            if stripped != token and (stripped in known or stripped.lower() in self.lower):
+            if stripped != token and (stripped in right or stripped.lower() in self.lower):
                 continue
+            if stripped in self.wrong:
+                token, end = stripped, begin + len(stripped)
             found = self.meant(token)
             if not found:
                 continue
@@ -280,10 +299,11 @@ def clean(df: DataFrame, id_col: str = "doc_id", text_col: str = "raw_text") ->
     ``kinds`` lists the kinds of scanning noise in it, and ``clean_text`` is the text
     without them, as continuous paragraphs; a text without noise comes out as it is, a null
     text as null with no kinds. One row in gives one row out. The vocabulary covers all
-    texts; it is broadcast, and its size is bounded (see vocabulary.SHARE).
+    texts; it is broadcast, and its size is bounded (see vocabulary.SHARE). Its misread
+    forms are worked out once, before it is sent.
     """
     words, texts = vocabulary(df, text_col)
-    sent = df.sparkSession.sparkContext.broadcast((words, texts))
+    sent = df.sparkSession.sparkContext.broadcast((words, texts, Reader(words, texts).wrong))
     schema = T.StructType([T.StructField(id_col, df.schema[id_col].dataType), T.StructField("kinds", T.ArrayType(T.StringType())), T.StructField("clean_text", T.StringType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -17,6 +17,18 @@ def test_misread_words(reader, token, word):
     assert kinds == ["misread"] and word in text
 
 
+def test_frequent_misreadings_are_no_words():
+    """A misread form that many texts have is looked up all the same, and is no word of the vocabulary."""
+    words = {"known": 3846, "related": 3564, "MATLAB": 1591, "modern": 400, "modem": 30, "knovvn": 14, "relatecl": 11, "kn0wn": 12, "MATLA8": 10, "Modem": 3}
+    reader = scan.Reader(words, 4000)
+    assert reader.examine("well knovvn! Knovvn, kn0wn and relatecl to MATLA8") == (["misread"], "well known! Known, known and related to MATLAB")
+    assert reader.examine("a modem, Modem and rclated work")[1] == "a modem, Modem and rclated work"  # one witness alone, and that is not sure
+    assert reader.examine("a modem is rclated to re1ated ones")[1] == "a modem is related to related ones"
+    assert reader.wrong == {"knovvn", "relatecl", "kn0wn", "MATLA8"}
+    given = scan.Reader(words, 4000, reader.wrong)
+    assert given.words == reader.words and given.lower == reader.lower
+
+
 @pytest.mark.parametrize("text", ["H2O k8s L10n S3", "the planenr slipped", "2019 10018-1820-18", "mail a.b@c.example", "Maintained the @retry decorator", "see Page 2 of the annex\nFrom 2018 -\n2020\n2019\n2021", "", None, " \n", "well-known\nreal-time", "A - b\nc"])
 def test_no_noise(reader, text):
     assert reader.examine(text)[0] == []
