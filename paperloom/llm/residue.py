@@ -53,6 +53,10 @@ _TEMPLATE_PATH = re.compile(r"(?:^|/)(?:_?templates?|skeletons?|scaffold(?:ing)?
 _CONTROL = re.compile(r"\{%-?\s*(?:for|if|block|macro|set|include|extends)\b|\{\{[#/^]|<%\s*(?:if|for|end)\b|^\s*\{\{-?\s*(?:range|with|if|end)\b", re.M)
 
 _TAG = re.compile(r"<[^<>]{0,300}>")
+#: A tag of any length, by the grammar of attributes; a comparison of two values in code is none.
+_LONG_TAG = re.compile(r"""</?[A-Za-z][\w:-]*+(?:\s++[\w:@.-]++(?:\s*+=\s*+(?:"[^"]*+"|'[^']*+'|[^\s"'<>]++))?+)*+\s*+/?+>""")
+#: What stands in markup and is not seen: how it ends, and the whole of it.
+_UNSEEN = tuple((end, re.compile(whole, re.S | re.I)) for end, whole in (("-->", r"<!--.*?-->"), ("</script", r"<script\b.*?</script\s*>?"), ("</style", r"<style\b.*?</style\s*>?")))
 _WORD = re.compile(r"[^\W\d_]+(?:['’][^\W\d_]+)?")
 #: The words of the usual dummy text.
 _LOREM = frozenset(
@@ -99,7 +103,8 @@ _NOTICE = re.compile(
     """
 )
 
-#: A notice or dummy text makes up a record only if hardly anything stands beside it.
+#: A notice or dummy text makes up a record only if hardly anything stands beside it: so many words are seen, of 40
+#: characters on an average at most, as text without blanks (minified data, other scripts) is no single word.
 NOTICE_WORDS = 60
 FILLER_SHARE = 0.6
 LEAST_FIELDS = 2
@@ -154,6 +159,18 @@ def _is_code(text: str) -> bool:
     return bool(re.search(r"(?m)^\s*(?:def|class|func|function|import|from|package|public|private|static|const|let|var|return|assert|#include|type|interface|select)\b|=>|^\s*[A-Za-z_]\w*\s*=\s*[\"'\[{(]|\)\s*[;{]\s*$", text))
 
 
+def _seen(text: str) -> tuple[str, str]:
+    """The text without scripts, styles and comments, and that without tags, whatever their length."""
+    if "<" not in text:
+        return text, text
+    for end, whole in _UNSEEN:
+        last = text.lower().rfind(end)
+        if last >= 0:  # nothing is looked for behind the last end, so that each beginning finds one
+            stop = last + len(end) + 1
+            text = whole.sub(" ", text[:stop]) + text[stop:]
+    return text, _TAG.sub(" ", _LONG_TAG.sub(" ", text))
+
+
 def kinds_of(text: str | None, path: str | None = None) -> list[str]:
     """The kinds of residue that make up a record."""
     if not text or not text.strip():
@@ -163,13 +180,13 @@ def kinds_of(text: str | None, path: str | None = None) -> list[str]:
         out.append("placeholder")
     if _filler(text):
         out.append("filler")
-    if len(text) <= 40 * NOTICE_WORDS:
-        visible = re.sub(r"(?s)<(script|style)\b.*?</\1>", " ", text)
-        if len(_TAG.sub(" ", visible).split()) <= NOTICE_WORDS and not _is_code(_TAG.sub(" ", visible)):
-            if _NOTICE.search(_TAG.sub(" ", visible)):
-                out.append("script_notice")
-            elif _ERROR.search(text) or _ERROR.search(_TAG.sub(" ", visible)):
-                out.append("error_page")
+    markup, plain = _seen(text)
+    words = plain.split()
+    if len(words) <= NOTICE_WORDS and sum(map(len, words)) <= 40 * NOTICE_WORDS and not _is_code(plain):
+        if _NOTICE.search(plain):
+            out.append("script_notice")
+        elif _ERROR.search(markup) or _ERROR.search(plain):
+            out.append("error_page")
     return out
 
 

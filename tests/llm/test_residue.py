@@ -32,6 +32,29 @@ def test_script_notices(text):
     assert residue.kinds_of(text) == ["script_notice"]
 
 
+CSS = "body { margin: 0; font: 16px/1.5 sans-serif; color: #333 }\n" * 90
+JS = "window.load = function (x) { if (x === 404) { throw 'page not found' } };\n" * 90
+
+
+@pytest.mark.parametrize(
+    "text,kinds",
+    [
+        (f"<html><head><title>502 Bad Gateway</title><style>{CSS}</style></head><body><h1>502 Bad Gateway</h1></body></html>", ["error_page"]),
+        (f"<HTML><STYLE type='text/css'>{CSS}</STYLE><!-- {CSS} > --><p>The page you asked for could not be found.</p></HTML>", ["error_page"]),
+        (f"<body><script>{JS}</script ><p>Checking your browser before you go on.</p><script>{JS}</script></body>", ["script_notice"]),
+        ("<img class='x' alt src=\"data:image/png;base64," + "iVBORw0KGgo/" * 400 + '"/><h1>Error 403</h1>', ["error_page"]),
+        ("503 Service Unavailable" + " \n" * 3000, ["error_page"]),
+        (f"<div>Loading</div><script>{JS}</script>", []),
+        ("<p>Error 404 is what a server says.</p>" + "<p>real words of a page that say something of use</p>" * 60, []),
+        ("404 not found where x <y " + "and more words stand, " * 200 + "z> 3", []),
+        ('{"message":"Forbidden","items":[' + '{"a":1,"b":"c"},' * 400 + "0]}", []),
+    ],
+)
+def test_long_markup_around_few_words(text, kinds):
+    """What counts is what is seen, however much markup is around it."""
+    assert len(text) > 2400 and residue.kinds_of(text) == kinds
+
+
 @pytest.mark.parametrize("text", ["Title\n\n" + "Blah blah blah " * 9, "Title\n\n" + "Insert your paragraph here. " * 6, "x\n\nNisi lacus dolor vivamus sit congue lorem lorem vivamus. Amet tempor dolor blandit lacus.", "T\n\n" + "TEXT " * 20, "T\n\n" + "Hier steht ein Blindtext. " * 8])
 def test_filler(text):
     assert residue.kinds_of(text) == ["filler"]
