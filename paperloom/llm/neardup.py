@@ -251,3 +251,10 @@ def groups(df: DataFrame, least: float = 0.8, size: int = 5, id_col: str = "doc_
             break
     out = members.join(degree.withColumnRenamed("a", "class"), "class", "left").join(label.withColumnRenamed("id", "class"), "class", "left")
     return out.select(F.col("id").alias(id_col), "class", F.coalesce("links", F.lit(0)).alias("links"), F.coalesce("group", "class").alias("group"))
+
+
+def groups_of_all(df: DataFrame, least: float = 0.8, size: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``groups`` with a row for each id: one whose text is null or has no word sequence is a class of its own, without links."""
+    ids = df.select(id_col).where(F.col(id_col).isNotNull()).distinct()
+    out = ids.join(groups(df, least, size, id_col, text_col), id_col, "left")
+    return out.select(id_col, F.coalesce("class", id_col).alias("class"), F.coalesce("links", F.lit(0)).alias("links"), F.coalesce("group", id_col).alias("group"))

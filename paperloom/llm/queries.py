@@ -44,7 +44,7 @@ def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p5_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return neardup.groups(table(spark, sf_dir, "parsed_resumes"), 0.6, 3, "doc_id", "cleaned_text")
+    return neardup.groups_of_all(table(spark, sf_dir, "parsed_resumes"), 0.6, 3, "doc_id", "cleaned_text")
 
 
 def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:

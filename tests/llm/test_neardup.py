@@ -51,6 +51,16 @@ def test_groups(spark):
     assert {got[k].group for k in range(5)} == {0} and got[4]["class"] == 0 and got[5].group == 5 and got[5].links == 0 and 6 not in got
 
 
+def test_groups_have_a_row_for_each_text(spark, tmp_path):
+    """The query too: texts without a word sequence are classes of their own."""
+    from paperloom.llm import queries
+
+    rows = [(1, "a b c d"), (2, "A b c  d"), (3, None), (4, " "), (5, "two words"), (6, "two words")]
+    expected = [(1, 1, 0, 1), (2, 1, 0, 1), (3, 3, 0, 3), (4, 4, 0, 4), (5, 5, 0, 5), (6, 6, 0, 6)]
+    spark.createDataFrame(rows, "doc_id bigint, cleaned_text string").write.parquet(f"{tmp_path}/parsed_resumes.parquet")
+    assert sorted(map(tuple, queries.p5_groups(spark, str(tmp_path)).collect())) == expected
+
+
 def test_hot_group_of_copies(spark):
     """A third of the rows are one text; they are one class, joined once."""
     own = texts(9, 10)
