@@ -151,8 +151,8 @@ def normalise(text: str | None, model: Model, garbled: list[tuple[int, int]] | N
     return text
 
 
-def pair_counts(df: DataFrame, text_col: str) -> dict[str, int]:
-    """How often characters follow each other in words of one script, over all texts.
+def pair_counts(df: DataFrame, *text_cols: str) -> dict[str, int]:
+    """How often characters follow each other in words of one script, over all texts of the columns.
 
     Words are counted first, by texts; the pairs of the counted words are few, as they are
     of one script's letters only, and are all that comes to the driver.
@@ -169,7 +169,8 @@ def pair_counts(df: DataFrame, text_col: str) -> dict[str, int]:
                         total[a + b] += n
         yield pa.RecordBatch.from_arrays([pa.array(list(total)), pa.array(list(total.values()), pa.int64())], names=["pair", "n"])
 
-    counts = document_counts(df, text_col).mapInArrow(run, "pair string, n long")
+    texts = df.select(F.explode(F.array(*(F.col(c).cast("string") for c in text_cols))).alias("text"))
+    counts = document_counts(texts, "text").mapInArrow(run, "pair string, n long")
     return {r["pair"]: r["n"] for r in counts.groupBy("pair").agg(F.sum("n").alias("n")).collect()}
 
 
@@ -177,10 +178,10 @@ def unify(df: DataFrame, fields: tuple[str, ...], id_col: str = "doc_id", counte
     """(id, field_name, needed, unified_text), one row for each row and field.
 
     ``needed`` tells whether the text had to be changed. Null texts stay null and need
-    nothing. Character pairs are counted over the first field, or over ``counted``.
+    nothing. Character pairs are counted over all these fields, or over ``counted``.
     """
     schema = T.StructType([T.StructField(id_col, df.schema[id_col].dataType), T.StructField("field_name", T.StringType()), T.StructField("needed", T.BooleanType()), T.StructField("unified_text", T.StringType())])
-    sent = df.sparkSession.sparkContext.broadcast(pair_counts(df, counted or fields[0]))
+    sent = df.sparkSession.sparkContext.broadcast(pair_counts(df, *([counted] if counted else fields)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model, detector = Model(sent.value), Detector()

@@ -31,6 +31,15 @@ def test_normalising_twice_changes_nothing():
     assert K.normalise(once, MODEL) == once and unicodedata.is_normalized("NFC", once)
 
 
+def test_pairs_are_counted_over_all_fields(spark):
+    """What only the second field holds decides the reading of a mixed word there."""
+    df = spark.createDataFrame([(1, None, "сор"), (2, None, "сор"), (3, None, "сop")], "doc_id bigint, raw_text string, cleaned_text string")
+    pairs = K.pair_counts(df, "raw_text", "cleaned_text")
+    assert pairs["^с"] == pairs["со"] == pairs["ор"] == 2 and not K.pair_counts(df, "raw_text")
+    got = {(r.doc_id, r.field_name): r.unified_text for r in K.unify(df, ("raw_text", "cleaned_text")).collect()}
+    assert got[3, "cleaned_text"] == "сор" and got[3, "raw_text"] is None
+
+
 def test_frame(spark):
     df = spark.createDataFrame([(1, "pаy", "pay", "x"), (2, "pay", None, "x"), (3, None, "a b", "x"), (1, "pаy", "pay", "x"), (4, "", "", "x")], "doc_id bigint, raw_text string, cleaned_text string, field_name string")
     assert sorted(map(tuple, K.find_lookalikes(df).collect())) == [(1, "raw_text"), (3, "cleaned_text")]
