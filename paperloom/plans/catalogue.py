@@ -301,7 +301,9 @@ def score_caps(spark: SparkSession, sf: str) -> DataFrame:
     part = lambda k: F.coalesce(F.try_variant_get("v", f"{_BREAKDOWN}.{k}", "int"), F.lit(0))
     total = F.greatest(F.lit(0), F.least(F.lit(100), sum((part(k) for k in L.MAXIMA), F.lit(0))))
     get = lambda p, t="string": F.try_variant_get("v", f"$.{p}", t)
-    cap, chance = report.caps(get("eligibility_check.status"), F.lit(0))
+    # rows of the matrix that are no objects, and a matrix that is no list, hold no flag
+    statuses = F.transform(get("recruiter_evidence_matrix", "array<variant>"), lambda row: F.try_variant_get(row, "$.status", "string"))
+    cap, chance = report.caps(get("eligibility_check.status"), report.red_flag_rows(statuses))
     score = report.capped_score(get("explainable_scorecard.overall_hiring_score.score"), cap)
     probability = report.capped_probability(get("explainable_scorecard.overall_hiring_score.interview_probability"), chance)
     return _payloads(spark, sf).select("audit_id", *_longs(ats_score=total, overall_score=score), probability.alias("interview_probability"))

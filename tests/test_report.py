@@ -57,6 +57,20 @@ def test_red_flags(spark):
     assert spark.range(1).select(report.red_flag_rows(F.array(F.lit(" Not Found "), F.lit("LIMITED"), F.lit("Partial")))).first()[0] == 2
 
 
+def test_red_flags_cap_the_query(spark, tmp_path):
+    from paperloom.plans import catalogue
+
+    def payload(matrix, status="PASSED"):
+        return json.dumps({"eligibility_check": {"status": status}, "explainable_scorecard": {"overall_hiring_score": {"score": 90, "interview_probability": "80%"}}, "recruiter_evidence_matrix": matrix})
+
+    flags = [{"status": s} for s in (" Not Found", "limited", "LIMITED", "Verified")]
+    cases = [(payload(flags), 75, "<= 50%"), (payload(flags[1:]), 90, "80%"), (payload(flags, "FAILED"), 30, "<= 5%"), (payload("x"), 90, "80%"), (payload([*flags[:2], "limited", None, {"status": None}]), 90, "80%"), (payload(None), 90, "80%")]
+    rows = [(i, None, "text", p) for i, (p, _, _) in enumerate(cases)]
+    spark.createDataFrame(rows, "audit_id bigint, target_role string, resume_text string, payload string").write.parquet(f"{tmp_path}/audits.parquet")
+    got = {r.audit_id: (r.overall_score, r.interview_probability) for r in catalogue.QUERIES["score_caps"](spark, str(tmp_path)).collect()}
+    assert got == {i: (s, c) for i, (_, s, c) in enumerate(cases)}
+
+
 def test_notes_are_told_apart(spark):
     df = spark.createDataFrame([(1, 0, "same", "A"), (1, 1, " same", "B"), (1, 2, "same", "C"), (2, 0, "same", "D"), (1, 3, " ", "E"), (1, 4, " ", "F")], "id int, pos int, note string, requirement string")
     got = [r.note for r in report.unique_notes(df, "id", keep_blank=True).orderBy("id", "pos").collect()]
