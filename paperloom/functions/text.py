@@ -7,7 +7,7 @@ any script.
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterable
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -29,6 +29,16 @@ def trim(c: Column) -> Column:
     return F.btrim(c, F.lit(WS_CHARS))
 
 
+def quoted(value: str) -> str:
+    """A string as a SQL literal."""
+    return "'" + value.replace("\\", "\\\\").replace("'", "\\'") + "'"
+
+
+def constants(values: Iterable[str]) -> Column:
+    """An array of strings, written as one expression rather than built value by value."""
+    return F.expr(f"cast(array({', '.join(map(quoted, values))}) as array<string>)")
+
+
 def let(value: Column, use: Callable[[Column], Column]) -> Column:
     """``use(value)`` with the value worked out once, however often it is used."""
     return F.element_at(F.transform(F.array(value), use), 1)
@@ -67,7 +77,7 @@ def clean(c: Column) -> Column:
 
 def clean_extracted(c: Column) -> Column:
     """The text as it is parsed: broken words joined, bullets as dashes, no control characters."""
-    c = F.regexp_replace(F.coalesce(c, F.lit("")), rf"({WORD}+)-{WS}*\n{WS}*({WORD}+)", "$1$2")
+    c = F.regexp_replace(F.coalesce(c, F.lit("")), rf"({WORD})-{WS}*\n{WS}*({WORD}+)", "$1$2")
     c = F.regexp_replace(c, r"\r\n?", "\n")
     c = F.regexp_replace(c, r"[\x{2022}\x{25aa}\x{2023}\x{2043}\x{25cf}\x{2219}]", "-")
     c = F.regexp_replace(c, r"[\x{0}-\x{8}\x{b}\x{c}\x{e}-\x{1f}\x{7f}-\x{9f}]", "")
@@ -113,11 +123,13 @@ def matched_terms(c: Column, terms: list[str]) -> Column:
     plain = [t for t in dict.fromkeys(terms) if is_plain(t)]
     rest = [t for t in dict.fromkeys(terms) if t and not is_plain(t)]
 
+    patterns = F.expr(f"array({', '.join(f'struct({quoted(t)} as term, {quoted(bounded(t))} as pattern)' for t in rest)})")
+
     def found(low: Column) -> Column:
-        tokens = F.array_intersect(F.split(low, f"{NOT_WORD}+"), F.array(*map(F.lit, plain)).cast("array<string>"))
+        tokens = F.array_intersect(F.split(low, f"{NOT_WORD}+"), constants(plain))
         # a pattern is tried only where its term stands at all
-        others = [F.when(F.contains(low, F.lit(t)) & low.rlike(bounded(t)), F.lit(t)) for t in rest]
-        return F.concat(tokens, F.filter(F.array(*others), lambda x: x.isNotNull())) if rest else tokens
+        others = lambda: F.transform(F.filter(patterns, lambda x: F.contains(low, x["term"]) & F.rlike(low, x["pattern"])), lambda x: x["term"])
+        return F.concat(tokens, others()) if rest else tokens
 
     return F.array_sort(F.array_distinct(let(F.lower(F.coalesce(c, F.lit(""))), found)))
 

@@ -6,12 +6,12 @@ import re
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from paperloom.functions import lexicon as L
-from paperloom.functions.text import DIGIT, NOT_WORD, WS, WS_IN, lines, matched_terms, trim, words
+from paperloom.functions.text import DIGIT, NOT_WORD, WS, WS_IN, let, lines, matched_terms, trim, words
 from paperloom.operators import sections
 
 EMAIL = r"[a-zA-Z0-9._%+\-]+@[a-zA-Z0-9.\-]+\.[a-zA-Z]{2,}"
@@ -181,37 +181,51 @@ def education(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
 PROJECT_SPLIT = rf"{WS}+[\x{{2014}}\x{{2013}}\-]{WS}+|{WS}{{3,}}"
 
 
-def projects(sections_df: DataFrame, id_col: str = "doc_id") -> DataFrame:
-    """(id, project_no, project_name, description) of the projects sections.
+PROJECT_TYPE = "array<struct<name:string,description:string>>"
+
+
+def projects_of(text: Column) -> Column:
+    """(name, description) of the projects in a section's text.
 
     A line with a dash between blanks opens a project; other lines go on with its description.
     """
-    own = sections_df.where("section = 'projects'")
-    rows = own.select(id_col, F.posexplode(certifications(F.col("section_text"))).alias("pos", "line"))
-    rows = rows.withColumn("parts", F.split("line", PROJECT_SPLIT, 2)).withColumn("opens", F.size("parts") == 2)
-    so_far = Window.partitionBy(id_col).orderBy("pos")
-    rows = rows.withColumn("project_no", F.sum(F.when(F.col("opens") | (F.col("pos") == 0), 1).otherwise(0)).over(so_far))
-    head = (F.col("opens") | (F.col("pos") == 0))
-    first = F.max_by(F.when(F.col("opens"), trim(F.col("parts")[0])).otherwise(F.col("line")), F.when(head, 1).otherwise(0))
-    told = F.when(F.col("opens"), trim(F.col("parts")[1])).when(F.col("pos") == 0, F.lit("")).otherwise(F.col("line"))
-    picked = F.array_sort(F.collect_list(F.struct("pos", told.alias("told"))))
-    text = trim(F.array_join(F.transform(picked, lambda x: x["told"]), " "))
-    return rows.groupBy(id_col, "project_no").agg(first.alias("project_name"), text.alias("description"))
 
+    def told(own: Column) -> Column:
+        parts = F.split(own[0], PROJECT_SPLIT, 2)
+        both = lambda p: F.size(p) == 2
+        rest = lambda p: F.concat(F.array(F.when(both(p), trim(p[1])).otherwise("")), F.slice(own, 2, F.size(own)))
+        return let(parts, lambda p: F.struct(F.when(both(p), trim(p[0])).otherwise(own[0]).alias("name"), trim(F.array_join(rest(p), " ")).alias("description")))
 
-def parse_all(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", terms: list[str] | None = None) -> DataFrame:
-    """All entities of each text, one row for each id. Sections that are missing count as empty."""
-    split = sections.split_appending(df, id_col, text_col)
-    wide = split.groupBy(id_col).agg(*[F.max(F.when(F.col("section") == s, F.col("section_text"))).alias(f"s_{s}") for s in ("experience", "education", "certifications")])
-    done = projects(split, id_col).groupBy(id_col).agg(F.transform(F.array_sort(F.collect_list(F.struct("project_no", "project_name", "description"))), lambda x: F.struct(x["project_name"].alias("name"), x["description"].alias("description"))).alias("projects"))
-    told = sections.summaries(df, id_col, text_col)
-    text = F.col("_text")
-    own = df.select(F.col(id_col), F.coalesce(F.col(text_col), F.lit("")).alias("_text")).join(wide, id_col, "left").join(done, id_col, "left").join(told, id_col, "left")
-    found = skills(text, terms)
-    return own.select(
-        id_col,
+    def split(own: Column) -> Column:
+        opens = lambda x, i: F.when((i == 0) | x.rlike(PROJECT_SPLIT), i)
+        begins = F.filter(F.transform(own, opens), lambda i: i.isNotNull())
+        return let(begins, lambda at: F.transform(at, lambda b, k: let(F.slice(own, b + 1, F.coalesce(F.get(at, k + 1), F.size(own)) - b), told)))
+
+    return let(certifications(text), split)
+
+
+def projects(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(id, project_no, project_name, description) of each text's projects section. Numbers count from 1."""
+    rows = df.select(F.col(id_col), F.posexplode(projects_of(sections.appended(F.col(text_col))["projects"])).alias("pos", "p"))
+    return rows.select(id_col, (F.col("pos") + 1).alias("project_no"), F.col("p.name").alias("project_name"), "p.description")
+
+
+ENTITIES = ("candidate_info", "summary", "skills", "total_skills_count", "work_experience", "education", "projects", "certifications")
+
+
+def with_entities(df: DataFrame, text_col: str = "text", terms: list[str] | None = None) -> DataFrame:
+    """All columns of ``df``, and the entities of the text in each row. Sections that are missing count as empty."""
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    rows = df.select("*", sections.appended(text).alias("_found"), skills(text, terms).alias("skills"))
+    found = lambda s: F.coalesce(F.col("_found")[s], F.lit(""))
+    return rows.select(
+        *df.columns,
         F.struct(name(text).alias("name"), email(text).alias("email"), phone(text).alias("phone"), link(text, LINKEDIN).alias("linkedin"), link(text, GITHUB).alias("github")).alias("candidate_info"),
-        "summary", found.alias("skills"), F.size(found).alias("total_skills_count"), work_experience(F.coalesce("s_experience", F.lit(""))).alias("work_experience"),
-        education(F.coalesce("s_education", F.lit(""))).alias("education"), F.coalesce("projects", F.array().cast("array<struct<name:string,description:string>>")).alias("projects"),
-        certifications(F.col("s_certifications")).alias("certifications"),
+        sections.summary(F.col("_found"), text).alias("summary"), "skills", F.size("skills").alias("total_skills_count"), work_experience(found("experience")).alias("work_experience"),
+        education(found("education")).alias("education"), projects_of(F.col("_found")["projects"]).alias("projects"), certifications(found("certifications")).alias("certifications"),
     )
+
+
+def parse_all(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", terms: list[str] | None = None) -> DataFrame:
+    """All entities of each text, one row for each row, without a join or shuffle."""
+    return with_entities(df.select(F.col(id_col), F.col(text_col).alias("_text")), "_text", terms).drop("_text")

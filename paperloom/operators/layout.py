@@ -75,9 +75,3 @@ def document_issues(pages: DataFrame, id_col: str = "doc_id") -> DataFrame:
     ranked = grouped.groupBy(id_col).agg(F.array_sort(F.collect_list(F.struct(F.col("affected_pages")[0].alias("first_page"), rank.alias("rank"), "issue_type", "affected_pages"))).alias("issues"))
     rows = ranked.select(id_col, F.posexplode("issues").alias("ordinal", "issue")).select(id_col, "ordinal", "issue.issue_type", "issue.affected_pages")
     return rows.select(id_col, "ordinal", "issue_type", levels[F.col("issue_type")]["severity"].alias("severity"), levels[F.col("issue_type")]["confidence"].alias("confidence"), "affected_pages")
-
-
-def office_issues(has_table: Column, margin_text: Column, body_xml: Column) -> Column:
-    """Kinds of issues of an office file, as an array."""
-    found = F.array(F.when(has_table, "TABLE"), F.when(has_contact(margin_text), "HEADER_FOOTER_TEXT"), F.when(F.contains(body_xml, F.lit("<w:txbxContent")), "TEXT_BOX"))
-    return F.filter(found, lambda x: x.isNotNull())

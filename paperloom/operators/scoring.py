@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from paperloom.functions import lexicon as L
-from paperloom.functions.text import METRIC, WS, block_count, half_even, has_bullet, lines, matched_terms, strip_bullet, word_count
+from paperloom.functions.text import METRIC, WS, block_count, constants, half_even, has_bullet, lines, matched_terms, strip_bullet, word_count
 from paperloom.operators import entities, sections
 
 
@@ -75,7 +75,7 @@ def formatting(e: dict[str, Column]) -> Column:
 def keywords_evidence(text: Column, terms: list[str]) -> dict[str, Column]:
     """Matched and missing keywords of a provider's list, sorted."""
     terms = sorted({t.lower() for t in terms if t})
-    every = F.array(*map(F.lit, terms)).cast("array<string>")
+    every = constants(terms)
     empty = F.array().cast("array<string>")
     blank = F.coalesce(text == "", F.lit(True))
     found = F.when(blank, empty).otherwise(matched_terms(text, terms)) if terms else empty
@@ -92,7 +92,7 @@ def keywords(e: dict[str, Column]) -> Column:
 def opens_with_verb(line: Column) -> Column:
     """Whether a line's first word is a verb of achievement."""
     first = F.lower(F.btrim(F.split(strip_bullet(line), f"{WS}+")[0], F.lit(".,;:!()")))
-    return first.isin(L.ACTION_VERBS)
+    return F.array_contains(constants(L.ACTION_VERBS), first)
 
 
 def achievement_shares(metrics: Column, verbs: Column, count: Column) -> dict[str, Column]:
@@ -123,32 +123,32 @@ def reason(points: dict[str, Column]) -> Column:
     return F.format_string("Weakest category: %s, %d of %d points.", F.replace(low, F.lit("_"), F.lit(" ")), earned, most)
 
 
-def score(df: DataFrame, terms: list[str], id_col: str = "doc_id", text_col: str = "text", pages_col: str | None = None, scanned_col: str | None = None) -> DataFrame:
-    """Score, its five parts, the reason and all evidence of each text, one row for each id.
+def score(df: DataFrame, terms: list[str], id_col: str = "doc_id", text_col: str = "text", pages_col: str | None = None, scanned_col: str | None = None, keep: tuple[str, ...] = ()) -> DataFrame:
+    """Score, its five parts, the reason and all evidence of each text, one row for each row.
 
     Null texts score as empty ones. Entities are looked for in the text and its sections.
+    Columns named in ``keep`` come along. Nothing is joined or shuffled.
     """
-    split = sections.split_appending(df, id_col, text_col)
-    wide = split.where("section in ('experience', 'education')").groupBy(id_col).agg(*[F.max(F.when(F.col("section") == s, F.col("section_text"))).alias(f"s_{s}") for s in ("experience", "education")])
     own = df.select(
         F.col(id_col), F.coalesce(F.col(text_col), F.lit("")).alias("text"), (F.col(pages_col) if pages_col else F.lit(1)).alias("pages"),
-        (F.col(scanned_col) if scanned_col else F.lit(False)).alias("scanned"),
-    ).join(wide, id_col, "left")
+        (F.col(scanned_col) if scanned_col else F.lit(False)).alias("scanned"), *[F.col(k).alias(f"_kept_{k}") for k in keep],
+    )
+    own = own.withColumn("_found", sections.appended(F.col("text")))
     text, lines_ = F.col("text"), F.col("own")
     # evidence is laid down step by step, so that nothing is worked out twice: the lines of a
     # text, what is counted in them, and the shares of the counts
     own = own.withColumn("own", lines(text))
     found = {
         "email_present": entities.email(text).isNotNull(), "phone_present": entities.phone(text).isNotNull(), "linkedin_present": entities.link(text, entities.LINKEDIN).isNotNull(),
-        "github_present": entities.link(text, entities.GITHUB).isNotNull(), "work_experience_present": entities.has_experience(F.col("s_experience")), "education_present": entities.has_education(F.col("s_education")),
+        "github_present": entities.link(text, entities.GITHUB).isNotNull(), "work_experience_present": entities.has_experience(F.col("_found")["experience"]), "education_present": entities.has_education(F.col("_found")["education"]),
         "skills_present": F.size(entities.skills(text)) > 0, "word_count": word_count(text), "matched_keywords": keywords_evidence(text, terms)["matched_keywords"],
     }
     counted = structure_evidence(text, lines_) | formatting_evidence(text, lines_) | achievements_evidence(text, lines_)
     counts = ("block_count", "bullet_count", "total_content_lines", "long_line_count", "metric_hits", "verb_hits")
-    rows = own.select(id_col, "pages", "scanned", (text == "").alias("_blank"), total_length(lines_).alias("_length"), *[c.alias(k) for k, c in found.items()], *[counted[k].alias(k) for k in counts])
+    rows = own.select(id_col, *[f"_kept_{k}" for k in keep], "pages", "scanned", (text == "").alias("_blank"), total_length(lines_).alias("_length"), *[c.alias(k) for k, c in found.items()], *[counted[k].alias(k) for k in counts])
     c = {k: F.col(k) for k in counts}
     n, every = c["total_content_lines"], sorted({t.lower() for t in terms if t})
-    listed = F.array(*map(F.lit, every)).cast("array<string>")
+    listed = constants(every)
     shares = structure_shares(c["block_count"], c["bullet_count"], n) | formatting_shares(F.col("_length"), c["long_line_count"], n) | achievement_shares(c["metric_hits"], c["verb_hits"], n)
     shares |= {
         "achievement_total_lines": n, "missing_keywords": F.when(F.col("_blank"), F.array().cast("array<string>")).otherwise(F.array_sort(F.array_except(listed, "matched_keywords"))),
@@ -168,9 +168,7 @@ def score(df: DataFrame, terms: list[str], id_col: str = "doc_id", text_col: str
     rows = rows.withColumn("ats_compatibility", F.least(F.lit(15), F.col("contact") + F.col("sections") + F.col("parsing")))
     points = {k: F.col(k) for k in L.MAXIMA}
     total = sum(points.values(), F.lit(0))
-    return rows.select(id_col, F.greatest(F.lit(0), F.least(F.lit(100), total)).alias("score"), *[F.col(k) for k in (*parts, "ats_compatibility")], weakest(points).alias("weakest"), reason(points).alias("reason"), *evidence)
-
-
+    return rows.select(id_col, *[F.col(f"_kept_{k}").alias(k) for k in keep], F.greatest(F.lit(0), F.least(F.lit(100), total)).alias("score"), *[F.col(k) for k in (*parts, "ats_compatibility")], weakest(points).alias("weakest"), reason(points).alias("reason"), *evidence)
 
 
 def serialized(scored: DataFrame, id_col: str = "doc_id") -> DataFrame:

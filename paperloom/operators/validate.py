@@ -59,11 +59,6 @@ def content_status(raw_text: Column, is_scanned: Column, words: Column) -> Colum
     )
 
 
-def first_known(*values: Column) -> Column:
-    """A field looked up in the record and then in its nested parts; nulls fall through."""
-    return F.coalesce(*values)
-
-
 def audit_ready(words: Column) -> Column:
     """Whether a text is long enough for an audit."""
     return F.coalesce(words, F.lit(0)) >= L.LEAST_AUDIT_WORDS

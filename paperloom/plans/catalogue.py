@@ -183,7 +183,7 @@ def education(spark: SparkSession, sf: str) -> DataFrame:
 
 @query
 def projects(spark: SparkSession, sf: str) -> DataFrame:
-    out = entities.projects(sections.split_appending(cleaned(spark, sf)))
+    out = entities.projects(cleaned(spark, sf))
     return out.select("doc_id", F.col("project_no").cast("bigint").alias("project_no"), "project_name", "description")
 
 

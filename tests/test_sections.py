@@ -68,7 +68,7 @@ def test_sql_tells_what_the_parsers_open(spark, data):
 
 def test_projects(spark):
     df = frame(spark, "PROJECTS\n- Alpha - does a\nand b\nBeta — does c\nlast", "PROJECTS\nNo dash\nmore")
-    got = [(r.doc_id, r.project_no, r.project_name, r.description) for r in entities.projects(sections.split_appending(df)).orderBy("doc_id", "project_no").collect()]
+    got = [(r.doc_id, r.project_no, r.project_name, r.description) for r in entities.projects(df).orderBy("doc_id", "project_no").collect()]
     assert got == [(0, 1, "Alpha", "does a and b"), (0, 2, "Beta", "does c last"), (1, 1, "No dash", "more")]
 
 
@@ -85,3 +85,32 @@ def test_parse_all_on_empty_tables(spark):
     assert entities.parse_all(empty).count() == 0
     row = entities.parse_all(frame(spark, None)).first()
     assert row.skills == [] and row.work_experience == [] and row.candidate_info.email is None
+
+
+def test_a_text_is_split_and_parsed_in_its_own_row(spark, data):
+    """One scan, and no exchange, window or join in any plan that splits texts."""
+    from paperloom.operators import scoring
+    from paperloom.plans import pipeline
+
+    raw = spark.read.parquet(f"{data}/parsed_resumes.parquet").selectExpr("doc_id", "raw_text", "raw_text as text", "validation_info.is_scanned as is_scanned", "quality_info.word_count as word_count", "1 as page_count")
+    plans = [
+        sections.split_appending(raw), sections.split_overwriting(raw), sections.summaries(raw), sections.structured_items(raw), entities.projects(raw), entities.parse_all(raw),
+        scoring.score(raw, ["sql"]), pipeline.process(raw), pipeline.parse_resumes(raw), pipeline.analyze(raw),
+    ]
+    for df in plans:
+        plan = df._jdf.queryExecution().executedPlan().toString()
+        assert plan.count("FileScan") == 1 and not any(x in plan for x in ("Exchange", "Window", "Join")), plan
+
+
+def test_headings_of_several_words_and_their_neighbours(spark):
+    lines = ["Skills & Interests", "LICENSES & CERTIFICATIONS held", "my work history", "workhistory", "EDUCATION AND TRAINING", "About me", "about  me", "CORE COMPETENCIES", "core", "", " SKILLS "]
+    df = frame(spark, *[f"{x}\nbody" for x in lines])
+    got = {r.doc_id: r.section for r in sections.split_appending(df).where("section <> 'HEADER'").collect()}
+    assert got == {0: "skills", 1: "certifications", 2: "experience", 4: "education", 5: "summary", 7: "skills", 10: "skills"}
+
+
+def test_runs_of_sections_that_follow_each_other(spark):
+    df = frame(spark, "Awards\nAwards\nA\nInterests\nSkills\nx", "Awards\n\nLanguages\n", "Awards")
+    got = {(r.doc_id, r.section): r.section_text for r in sections.split_overwriting(df).collect()}
+    # a run without a line stands only where a heading closes it that opens none
+    assert got == {(0, "awards"): "A", (0, "interests"): "", (1, "awards"): "", (1, "languages"): ""}
