@@ -7,7 +7,7 @@ streamed through it, tracking the longest match that ends at each word.
 from __future__ import annotations
 
 import re
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -164,72 +164,79 @@ def _blocks(items: DataFrame, id_col: str, text_col: str, least: int) -> Iterato
         yield SuffixAutomaton(block, least)
 
 
+def _through(docs: DataFrame, items: DataFrame, least: int, ids: tuple[str, str, str, str], column: str, kind: T.DataType, find: Callable[[SuffixAutomaton, list[str]], list]) -> DataFrame:
+    """(doc_id, text, column): what ``find`` gives of all blocks of items, one after the other, in one scan of the texts.
+
+    The text goes through the blocks as it is, so what is found does not depend on their size.
+    """
+    doc_id, doc_text, item_id, item_text = ids
+    schema = T.StructType([T.StructField("doc_id", docs.schema[doc_id].dataType), T.StructField("text", T.StringType()), T.StructField(column, T.ArrayType(kind))])
+    out = docs.select(F.col(doc_id).alias("doc_id"), F.col(doc_text).cast("string").alias("text"), F.array().cast(T.ArrayType(kind)).alias(column))
+    for automaton in _blocks(items, item_id, item_text, least):
+        sent = docs.sparkSession.sparkContext.broadcast(automaton)
+
+        def run(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
+            own, shape = sent.value, pa.list_(pa_type(kind))
+            for batch in batches:
+                found = [find(own, words_of(text)) for text in batch.column(1).to_pylist()]
+                if any(found):
+                    found = [before + more for before, more in zip(batch.column(2).to_pylist(), found)]
+                    batch = pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(found, shape)], names=schema.names)
+                yield batch
+
+        out = out.mapInArrow(run, schema)
+    return out
+
+
 def find_leaks(docs: DataFrame, items: DataFrame, least: int = 10, doc_id: str = "doc_id", doc_text: str = "text", item_id: str = "item_id", item_text: str = "text") -> DataFrame:
     """Pairs (doc_id, item_id) that share at least ``least`` consecutive words.
 
     Null, empty and short texts are in no pair; repeated rows give one pair. Texts are
     read whole, and columns besides the named ones are ignored.
     """
-    schema = T.StructType([T.StructField("doc_id", docs.schema[doc_id].dataType), T.StructField("item_id", items.schema[item_id].dataType)])
-    spark, parts = docs.sparkSession, []
-    for automaton in _blocks(items, item_id, item_text, least):
-        sent = spark.sparkContext.broadcast(automaton)
+    kind = items.schema[item_id].dataType
+    texts = docs.where(F.col(doc_text).isNotNull())
+    found = _through(texts, items, least, (doc_id, doc_text, item_id, item_text), "items", kind, lambda own, words: [own.keys[n] for n in own.leaked(words)])
+    return found.select("doc_id", F.explode("items").alias("item_id")).distinct()
 
-        def run(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
-            own = sent.value
-            for batch in batches:
-                left, right = [], []
-                for key, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                    for number in own.leaked(words_of(text)):
-                        left.append(key)
-                        right.append(own.keys[number])
-                arrays = [pa.array(left, batch.schema.types[0]), pa.array(right, pa_type(schema["item_id"].dataType))]
-                yield pa.RecordBatch.from_arrays(arrays, names=["doc_id", "item_id"])
-
-        parts.append(docs.select(F.col(doc_id), F.col(doc_text).cast("string")).where(F.col(doc_text).isNotNull()).mapInArrow(run, schema))
-    if not parts:
-        return spark.createDataFrame([], schema)
-    out = parts[0]
-    for part in parts[1:]:
-        out = out.unionByName(part)
-    return out.distinct()
+
+def _cut(text: str, spans: list[list[int]]) -> tuple[str, int, int]:
+    """The text without the spans of words, which may overlap; how many words went, and how many there were."""
+    places = [m.span() for m in _WORD.finditer(text)]
+    keep, at, end, gone = [], 0, 0, 0
+    for first, stop in sorted(map(tuple, spans)):
+        first = max(first, end)
+        if first < stop:
+            # a span that goes on from another takes what stands between them along
+            keep.append(text[at : places[first][0]] if first > end or not gone else "")
+            at, end, gone = places[stop - 1][1], stop, gone + stop - first
+    return "".join(keep) + text[at:], gone, len(places)
 
 
 def remove_leaks(docs: DataFrame, items: DataFrame, least: int = 10, coverage: float = 0.5, doc_id: str = "doc_id", doc_text: str = "text", item_id: str = "item_id", item_text: str = "text") -> DataFrame:
     """Documents without their leaked spans: (doc_id, clean_text, removed_words, coverage).
 
-    Spans of ``least`` or more words that lie in an item are cut out of the text. A text of
-    which such spans hold the share ``coverage`` or more comes out as null. Null texts stay
-    null, with no removed words.
+    Spans of ``least`` or more words that lie in an item are cut out of the text, spans of
+    all items together. A text of which they hold the share ``coverage`` or more comes out
+    as null. Null texts stay null, with no removed words. One row in gives one row out.
     """
+    found = _through(docs, items, least, (doc_id, doc_text, item_id, item_text), "spans", T.ArrayType(T.LongType()), lambda own, words: [list(x) for x in own.spans(words)])
     schema = T.StructType([T.StructField("doc_id", docs.schema[doc_id].dataType), T.StructField("clean_text", T.StringType()), T.StructField("removed_words", T.LongType()), T.StructField("coverage", T.DoubleType())])
-    out = docs.select(F.col(doc_id).alias("doc_id"), F.col(doc_text).cast("string").alias("clean_text"), F.lit(0).cast("long").alias("removed_words"), F.lit(0.0).alias("coverage"))
-    for automaton in _blocks(items, item_id, item_text, least):
-        sent = docs.sparkSession.sparkContext.broadcast(automaton)
 
-        def run(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
-            own = sent.value
-            for batch in batches:
-                texts, removed, shares = [], [], []
-                for text, before, share in zip(*(batch.column(i).to_pylist() for i in (1, 2, 3))):
-                    spans = own.spans(words_of(text))
-                    if spans:
-                        places = [m.span() for m in _WORD.finditer(text)]
-                        gone = sum(b - a for a, b in spans)
-                        share = max(share, gone / len(places))
-                        keep, at = [], 0
-                        for a, b in spans:
-                            keep.append(text[at : places[a][0]])
-                            at = places[b - 1][1]
-                        text = "".join(keep) + text[at:]
-                        before += gone
-                    texts.append(None if share >= coverage else text)
-                    removed.append(before)
-                    shares.append(share)
-                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.string()), pa.array(removed, pa.int64()), pa.array(shares, pa.float64())], names=schema.names)
-
-        out = out.mapInArrow(run, schema)
-    return out
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts, removed, shares = [], [], []
+            for text, spans in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist()):
+                gone = share = 0
+                if spans:
+                    text, gone, count = _cut(text, spans)
+                    share = gone / count
+                texts.append(None if share >= coverage else text)
+                removed.append(gone)
+                shares.append(float(share))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.string()), pa.array(removed, pa.int64()), pa.array(shares, pa.float64())], names=schema.names)
+
+    return found.mapInArrow(run, schema)
 
 
 def pa_type(kind: T.DataType) -> pa.DataType:

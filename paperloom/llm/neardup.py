@@ -3,9 +3,10 @@
 Each text gets a signature of min-hashes of its word sequences, cut into chunks. Two texts
 whose signatures differ in fewer than ``chunks * (errors + 1)`` places have, by the
 pigeonhole principle, some chunk with at most ``errors`` differences; enumerating the
-allowed errors of every chunk as keys therefore meets all of them. Inside a key's group
-signatures are compared in blocks, and the pairs under the distance threshold are checked
-against the texts themselves.
+allowed errors of every chunk as keys therefore meets all of them. Keys that one text alone
+has are left out, and the group of a key that many share is dealt out as pairs of blocks.
+Signatures are compared inside a block or between two, and the pairs under the distance
+threshold are checked against the texts themselves.
 """
 
 from __future__ import annotations
@@ -25,7 +26,10 @@ from paperloom.session import checkpoint
 
 #: Chunks of the signature, symbols in a chunk, and errors allowed in a chunk.
 CHUNKS, SYMBOLS, ERRORS = 12, 4, 1
-#: Signatures compared at a time inside a group.
+#: Texts of a key that are compared in one place, on an average. The group of a key with more
+#: is cut into blocks of this size, and each two blocks meet in a place of their own.
+GROUP = 2048
+#: Signatures compared at a time.
 BLOCK = 512
 _STORE = 1_000_000
 
@@ -134,46 +138,72 @@ def signed(df: DataFrame, id_col: str, text_col: str, size: int) -> DataFrame:
     return source.mapInArrow(run, schema)
 
 
+def _cells(base: DataFrame) -> DataFrame:
+    """(cell, side, id): the places at which the ids of ``base`` (id, keys) are to be compared.
+
+    A cell holds the ids of one key, or of one block of a key that many ids have (side 0),
+    or of two blocks that meet (sides 0 and 1), so that no cell grows with the data. Counts
+    are summed before they are shuffled, and only keys that are shared go on.
+    """
+    rows = base.select(F.explode("keys").alias("key"), "id")
+    shared = rows.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
+    met = rows.join(shared, "key")
+    blocks = F.ceil(F.col("n") / F.lit(GROUP)).cast("int")
+    met = met.withColumn("blocks", blocks).withColumn("own", F.pmod(F.xxhash64("key", "id"), F.col("blocks")).cast("int"))
+    other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
+    apart = met.where("blocks > 1").select("key", "id", "own", other.alias("other"))
+    low, high = F.least("own", "other"), F.greatest("own", "other")
+    apart = apart.select(F.xxhash64("key", low, high).alias("cell"), (F.col("own") > F.col("other")).alias("side"), "id")
+    return met.where("blocks = 1").select(F.col("key").alias("cell"), F.lit(False).alias("side"), "id").unionByName(apart)
+
+
+def _near(left: np.ndarray, right: np.ndarray, most: int) -> np.ndarray:
+    """Which rows of two tables of signatures differ in at most `most` places."""
+    if len(left) * len(right) <= 4096:
+        return (left[:, None, :] != right[None, :, :]).sum(axis=2) <= most
+    differ = np.zeros((len(left), len(right)), dtype=np.int16)
+    for k in range(left.shape[1]):
+        differ += left[:, k, None] != right[None, :, k]
+    return differ <= most
+
+
 def _close(batches: Iterator[pa.RecordBatch], most: int, id_type: pa.DataType) -> Iterator[pa.RecordBatch]:
-    """Rows sorted by key: the pairs of each key whose signatures differ in at most `most` places."""
+    """Rows (cell, side, id, signature) sorted by cell: the pairs of each cell whose signatures differ in at most `most` places."""
 
-    def pairs(ids: list, sigs: list[bytes]) -> Iterator[pa.RecordBatch]:
+    def pairs(sides: list[bool], ids: list, sigs: list[bytes]) -> Iterator[pa.RecordBatch]:
         table = np.frombuffer(b"".join(sigs), dtype=np.uint8).reshape(len(ids), -1)
-        for i in range(0, len(ids), BLOCK):
-            for j in range(i, len(ids), BLOCK):
-                left, right = table[i : i + BLOCK], table[j : j + BLOCK]
-                differ = np.zeros((len(left), len(right)), dtype=np.int16)
-                for k in range(table.shape[1]):
-                    differ += left[:, k, None] != right[None, :, k]
-                near = differ <= most
-                if i == j:
+        second = np.array(sides, dtype=bool)
+        rows = np.flatnonzero(~second)
+        others = np.flatnonzero(second) if second.any() else rows
+        for i in range(0, len(rows), BLOCK):
+            for j in range(0 if others is not rows else i, len(others), BLOCK):
+                a, b = rows[i : i + BLOCK], others[j : j + BLOCK]
+                near = _near(table[a], table[b], most)
+                if others is rows and i == j:
                     near = np.triu(near, 1)
                 x, y = np.nonzero(near)
-                if len(x):
-                    a, b = [ids[i + k] for k in x.tolist()], [ids[j + k] for k in y.tolist()]
-                    both = [(p, q) if p < q else (q, p) for p, q in zip(a, b) if p != q]
+                both = [(min(p, q), max(p, q)) for p, q in zip((ids[k] for k in a[x].tolist()), (ids[k] for k in b[y].tolist())) if p != q]
+                if both:
                     yield pa.RecordBatch.from_arrays([pa.array([p for p, _ in both], id_type), pa.array([q for _, q in both], id_type)], names=["a", "b"])
 
-    key, ids, sigs = None, [], []
+    cell, sides, ids, sigs = None, [], [], []
     for batch in batches:
         if not batch.num_rows:
             continue
-        keys = batch.column(0).to_numpy()
-        cuts = np.flatnonzero(np.diff(keys)) + 1
-        # most keys stand alone: only runs of two and more, and the ends of the batch, are looked at
-        begins, stops = np.concatenate([[0], cuts]), np.concatenate([cuts, [len(keys)]])
-        keep = np.flatnonzero((stops - begins > 1) | (begins == 0) | (stops == len(keys)))
-        for run in keep.tolist():
-            lo, hi = int(begins[run]), int(stops[run])
-            if key is not None and keys[lo] != key:
+        cells = batch.column(0).to_numpy()
+        cuts = np.flatnonzero(np.diff(cells)) + 1
+        columns = [batch.column(i).to_pylist() for i in (1, 2, 3)]
+        for lo, hi in zip([0, *cuts.tolist()], [*cuts.tolist(), len(cells)]):
+            if cell is not None and cells[lo] != cell:
                 if len(ids) > 1:
-                    yield from pairs(ids, sigs)
-                ids, sigs = [], []
-            key = keys[lo]
-            ids += batch.column(1).slice(lo, hi - lo).to_pylist()
-            sigs += batch.column(2).slice(lo, hi - lo).to_pylist()
+                    yield from pairs(sides, ids, sigs)
+                sides, ids, sigs = [], [], []
+            cell = cells[lo]
+            sides += columns[0][lo:hi]
+            ids += columns[1][lo:hi]
+            sigs += columns[2][lo:hi]
     if len(ids) > 1:
-        yield from pairs(ids, sigs)
+        yield from pairs(sides, ids, sigs)
 
 
 def _verified(pairs: DataFrame, texts: DataFrame, least: float, size: int) -> DataFrame:
@@ -201,7 +231,10 @@ def similar(df: DataFrame, least: float = 0.8, size: int = 5, id_col: str = "doc
     ``members(id, class)``, where the representative is the least id of those with the same
     set of word sequences. The id must be unique. Null texts and texts of fewer words than
     ``size`` are in no class. The distance threshold lies four deviations above what two
-    texts at the limit of the similarity are expected to differ by.
+    texts at the limit of the similarity are expected to differ by. Pairs are guaranteed a
+    common key up to ``CHUNKS * (ERRORS + 1) - 1`` different symbols; those between that
+    and the threshold have one with a probability that the README states with the recall
+    measured.
     """
     width = CHUNKS * SYMBOLS
     most = int(width * (1 - least) + 4 * (width * least * (1 - least)) ** 0.5)
@@ -210,8 +243,8 @@ def similar(df: DataFrame, least: float = 0.8, size: int = 5, id_col: str = "doc
     members = base.select("id", "fp").join(classes, "fp").select("id", "class")
     # the representative's own row carries the keys, so nothing large is aggregated
     firsts = base.join(classes.select(F.col("class").alias("id")), "id", "left_semi")
-    rows = firsts.select(F.explode("keys").alias("key"), "id", "sig")
-    rows = rows.repartition("key").sortWithinPartitions("key")
+    rows = _cells(firsts.select("keys", "id")).join(firsts.select("id", "sig"), "id").select("cell", "side", "id", "sig")
+    rows = rows.repartition("cell").sortWithinPartitions("cell")
     id_type = pa_type(base.schema["id"].dataType)
     schema = T.StructType([T.StructField("a", base.schema["id"].dataType), T.StructField("b", base.schema["id"].dataType)])
     near = rows.mapInArrow(lambda batches: _close(batches, most, id_type), schema).distinct()

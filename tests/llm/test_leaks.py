@@ -48,3 +48,36 @@ def test_removal(spark):
     got = {r.doc_id: r for r in leaks.remove_leaks(docs, items).collect()}
     assert got[1].clean_text.startswith("Start of it. ! And") and got[1].removed_words == 12
     assert got[2].clean_text is None and got[2].coverage == 1.0 and got[3].clean_text == "clean" and got[4].clean_text is None
+
+
+def brute_removed(text, items, least):
+    """The words that stay: those in no run of ``least`` words that some item holds."""
+    words, gone = leaks.words_of(text), set()
+    held = {tuple(w[i : i + least]) for w in map(leaks.words_of, items) for i in range(len(w) - least + 1)}
+    for i in range(len(words) - least + 1):
+        if tuple(words[i : i + least]) in held:
+            gone.update(range(i, i + least))
+    return [w for i, w in enumerate(words) if i not in gone], len(gone)
+
+
+def test_removal_does_not_depend_on_the_blocks(spark, monkeypatch):
+    line = [f"w{i}" for i in range(40)]
+    overlapping = [" ".join(line[a:b]) for a, b in ((3, 15), (9, 22), (20, 34))]
+    text = "; ".join(["before", *line, "after"])
+    noise, more = corpus(3, 30, 50, 3), corpus(4, 12, 40, 3)
+    docs = spark.createDataFrame([(-1, text), *noise], "doc_id bigint, text string")
+    items = [*enumerate(overlapping), *((i + 10, t) for i, t in more)]
+    frame = spark.createDataFrame(items, "item_id bigint, text string")
+    found = []
+    for size in (5, 60, 400_000):
+        monkeypatch.setattr(leaks, "BLOCK_WORDS", size)
+        found.append(sorted(map(tuple, leaks.remove_leaks(docs, frame, 10, 1.1).collect())))
+    assert found[0] == found[1] == found[2]
+    for key, clean, removed, share in found[0]:
+        given = dict([(-1, text), *noise])[key]
+        kept, gone = brute_removed(given, [t for _, t in items], 10)
+        assert (leaks.words_of(clean), removed) == (kept, gone)
+        assert share == (gone / len(leaks.words_of(given)) if gone else 0)
+    assert next(removed for key, _, removed, _ in found[0] if key == -1) == 31
+    # the share of all items together decides
+    assert leaks.remove_leaks(docs, frame, 10, 0.7).where("doc_id = -1").first().clean_text is None

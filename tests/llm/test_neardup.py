@@ -73,3 +73,37 @@ def test_hot_group_of_copies(spark):
 def test_empty(spark):
     assert neardup.all_pairs(frame(spark, [(1, None)]), 0.6, 3).count() == 0
     assert neardup.groups(frame(spark, [(1, "a b")]), 0.6, 3).count() == 0
+
+
+def test_a_hot_key_is_dealt_out(spark, monkeypatch):
+    """20,000 texts under one key: no cell holds many of them, and each two meet in a cell."""
+    from pyspark.sql import functions as F
+
+    n = 20_000
+    base = spark.range(n).select(F.col("id"), F.when(F.col("id") < n - 2, F.array(F.lit(7), F.col("id") + 1000)).otherwise(F.array(F.lit(8))).cast("array<bigint>").alias("keys"))
+    cells = neardup._cells(base)
+    sizes = cells.groupBy("cell").count()
+    blocks = -(-(n - 2) // neardup.GROUP)
+    assert sizes.count() == blocks * (blocks + 1) // 2 + 1  # and the pair of the other key
+    assert sizes.agg(F.max("count")).first()[0] < 2.4 * neardup.GROUP
+    monkeypatch.setattr(neardup, "GROUP", 8)
+    small = neardup._cells(base.where("id < 50")).collect()
+    met = {}
+    for r in small:
+        met.setdefault(r.cell, ([], []))[int(r.side)].append(r.id)
+    found = {frozenset((a, b)) for left, right in met.values() for a in left for b in (right or left) if a != b}
+    assert len(found) == 50 * 49 // 2
+
+
+def test_pairs_of_hot_keys_are_the_brute_force(spark, monkeypatch):
+    """Edited copies of one text, more than a block holds."""
+    monkeypatch.setattr(neardup, "GROUP", 4)
+    rng = random.Random(5)
+    base = [f"w{i}" for i in range(60)]
+    rows = []
+    for i in range(40):
+        copy = list(base)
+        copy[rng.randrange(60)] = f"x{i}"
+        rows.append((i, " ".join(copy)))
+    got = [tuple(r) for r in neardup.all_pairs(frame(spark, rows), 0.6, 3).collect()]
+    assert len(got) == len(set(got)) and set(got) == brute(rows, 0.6, 3)
