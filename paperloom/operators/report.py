@@ -24,41 +24,34 @@ def clean_json(text: Column) -> Column:
     return trim(F.regexp_replace(text, rf",{WS}*([\]}}])", "$1"))
 
 
+#: What tells the shape of JSON text: strings, of which the last may lack its end, and signs outside them.
+_JSON_MARK = re.compile(r'"(?:[^"\\]|\\.)*+(?P<end>"?)|[{}\[\],]', re.S)
+_ENDS = {"{": "}", "[": "]"}
+
+
 def repair(text: str | None) -> str | None:
     """A cut JSON object, closed: back to the last comma where a string was left open, then all brackets shut.
 
     Text without an object gives None; a complete object comes out as it is.
     """
-    begin = (text or "").find("{")
-    if begin < 0:
+    _, brace, rest = (text or "").partition("{")
+    if not brace:
         return None
-    own = text.strip()
-    own = own[own.find("{") :]
-
-    def state(s: str) -> tuple[list[str], bool, int]:
-        opened: list[str] = []
-        quoted, comma, at = False, 0, 0
-        while at < len(s):
-            c = s[at]
-            if c == "\\" and quoted:
-                at += 1
-            elif c == '"':
-                quoted = not quoted
-            elif not quoted:
-                if c in "{[":
-                    opened.append("}" if c == "{" else "]")
-                elif c in "}]" and opened:
-                    opened.pop()
-                elif c == ",":
-                    comma = at + 1
-            at += 1
-        return opened, quoted, comma
-
-    opened, quoted, comma = state(own)
-    if quoted:
-        own = own[:comma]
-    own = own.rstrip().rstrip(",")
-    return own + "".join(reversed(state(own)[0] if quoted else opened))
+    own = (brace + rest).rstrip()
+    waiting: list[str] = []
+    safe, then = 0, ""  # where the last comma outside strings stands, and what closes the text before it
+    for m in _JSON_MARK.finditer(own):
+        sign = m.group()
+        if sign[0] == '"' and not m["end"]:
+            own, waiting = own[:safe], [then]
+            break
+        if sign in _ENDS:
+            waiting.insert(0, _ENDS[sign])
+        elif sign == ",":
+            safe, then = m.start(), "".join(waiting)
+        elif sign in "}]" and waiting:
+            del waiting[0]
+    return own.rstrip().rstrip(",") + "".join(waiting)
 
 
 @F.pandas_udf(T.StringType())
@@ -138,8 +131,9 @@ def grounded_metrics(rewrites: pd.Series, texts: pd.Series) -> pd.Series:
 
 
 def aligned_score(breakdown: Column) -> Column:
-    """The score as the sum of its parts, of a map of variants or numbers; parts that are no numbers count 0."""
-    return F.greatest(F.lit(0), F.least(F.lit(100), F.aggregate(F.map_values(breakdown), F.lit(0), lambda acc, x: acc + F.coalesce(F.expr("0") + x, F.lit(0)))))
+    """The score as the sum of its parts, of a map of variants; parts that are no whole numbers count 0."""
+    parts = F.transform(F.map_values(breakdown), lambda x: F.coalesce(F.try_variant_get(x, "$", "int"), F.lit(0)))
+    return F.greatest(F.lit(0), F.least(F.lit(100), F.aggregate(parts, F.lit(0), lambda total, x: total + x)))
 
 
 def red_flag_rows(statuses: Column) -> Column:
