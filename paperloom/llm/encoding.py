@@ -1,9 +1,10 @@
 """Problem 2: text that was decoded with the wrong character encoding.
 
-Adjacent character pairs are scored by their mutual information in the corpus and the
-frequencies of their characters, which together give the pair's surprisal. Maximum-scoring
-segments over these scores isolate the improbable runs, and inverse mappings are tested
-only inside those.
+Adjacent character pairs are scored by their mutual information in the corpus. Characters
+of running text meet each other about as often as chance has it, while the pieces of a
+wrongly decoded character come together only: such runs are improbable for characters that
+are independent. Maximum-scoring segments over the scores isolate them, and inverse
+mappings are tested only inside those.
 """
 
 from __future__ import annotations
@@ -13,24 +14,32 @@ import re
 from collections import Counter
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from paperloom.session import checkpoint
+
 #: Encodings that texts are taken to have been read in, though they were UTF-8.
 CODECS = ("cp1252", "latin-1", "cp437", "mac_roman", "cp1250", "cp850", "iso8859-2", "cp1251", "cp1254", "iso8859-15", "koi8-r", "cp866")
 #: Texts may have been decoded wrongly several times over.
 ROUNDS = 3
-#: Bits of surprisal above which a pair is improbable.
-CUTOFF = 14.0
-#: Pairs that the table of scores holds at most; rarer ones count as never seen, which is
-#: as improbable as they are.
-TABLE = 200_000
+#: Bits of mutual information above which a pair is improbable. Two pieces that come together
+#: only have one bit even in a corpus that holds nothing else, and more in any other.
+CUTOFF = 0.9
+#: Pairs of at least this share of all pairs have a score of their own, so there are a
+#: million of them at most in a corpus of any size. Rarer ones count as never seen.
+RARE = 1e-6
+#: Bits of a pair that was never seen: as improbable as pieces of one character.
+UNSEEN = 12.0
+#: A task's counter is flushed beyond so many entries.
+COUNTER = 300_000
 
 LOST = "\ufffd"
+_LOST = re.compile(f"{LOST}+")
 _HIGH = re.compile("[^\x00-\x7f]+")
-_CONTEXT = 2
 _SEQUENCE = re.compile(rb"[\xc2-\xdf][\x80-\xbf]|\xe0[\xa0-\xbf][\x80-\xbf]|[\xe1-\xec\xee\xef][\x80-\xbf]{2}|\xed[\x80-\x9f][\x80-\xbf]|\xf0[\x90-\xbf][\x80-\xbf]{2}|[\xf1-\xf3][\x80-\xbf]{3}|\xf4[\x80-\x8f][\x80-\xbf]{2}")
 #: Encodings of one byte a letter whose words, read as Western European, are accented letters only.
 SINGLE = ("cp1251", "koi8-r", "cp1253", "iso8859-5")
@@ -139,9 +148,9 @@ def _natural(text: str) -> float:
     return (good - 2 * odd) / max(1, len(text))
 
 
-def single_byte(text: str) -> list[tuple[int, int, str]]:
-    """(from, to, original) of words that are accented letters only, if some have three and more."""
-    words = [m for m in _ALL_HIGH.finditer(text)]
+def single_byte(text: str, runs: list[tuple[int, int]]) -> list[tuple[int, int, str]]:
+    """(from, to, original) of words inside the ``runs`` that are accented letters only, if some have three and more."""
+    words = [m for m in _ALL_HIGH.finditer(text) if any(lo <= m.start() and m.end() <= hi for lo, hi in runs)] if runs else []
     if not any(len(set(m.group())) >= 3 for m in words):
         return []
     joined = "".join(m.group() for m in words)
@@ -178,94 +187,100 @@ def segments(scores: list[float]) -> list[tuple[int, int]]:
 
 
 class Detector:
-    """Finds and repairs wrongly decoded runs, given the surprisal of character pairs."""
+    """Finds and repairs wrongly decoded runs, given the mutual information of character pairs in bits.
+
+    Without a table every pair counts as never seen, so every run beyond ASCII is tested.
+    """
 
-    def __init__(self, surprisal: dict[str, float] | None = None, unseen: float = 30.0):
-        self.surprisal, self.unseen = surprisal or {}, unseen
+    def __init__(self, bits: dict[str, float] | None = None, unseen: float = UNSEEN):
+        self.bits, self.unseen = bits or {}, unseen
 
     def runs(self, text: str) -> list[tuple[int, int]]:
         """Improbable runs of characters: stretches [from, to) of the text."""
-        out: list[tuple[int, int]] = []
-        stop = -1
         spans: list[list[int]] = []
-        for m in _HIGH.finditer(text):  # only around characters beyond ASCII can a pair be garbled
-            lo, hi = max(0, m.start() - _CONTEXT), min(len(text), m.end() + _CONTEXT)
-            if lo <= stop:
+        for m in _HIGH.finditer(text):  # only pairs with a character beyond ASCII are looked at
+            lo, hi = max(0, m.start() - 1), min(len(text), m.end() + 1)
+            if spans and lo < spans[-1][1]:
                 spans[-1][1] = hi
             else:
                 spans.append([lo, hi])
-            stop = hi
-        get, unseen = self.surprisal.get, self.unseen
+        get, unseen, out = self.bits.get, self.unseen, []
         for lo, hi in spans:
             part = text[lo:hi]
-            scores = []
-            for a, b in zip(part, part[1:]):
-                score = get(a + b, unseen) - CUTOFF
-                # a pair beyond ASCII is looked at even where it is common: whole corpora are garbled alike
-                scores.append(max(score, 1.0) if a > "\x7f" or b > "\x7f" else min(score, -0.5))
-            out += [(lo + a, lo + b + 1) for a, b in segments(scores)]
+            scores = [get(a + b, unseen) - CUTOFF for a, b in zip(part, part[1:])]
+            if max(scores, default=0) > 0:
+                out += [(lo + a, lo + b + 1) for a, b in segments(scores)]
         return out
 
-    def examine(self, text: str | None) -> tuple[str | None, list[tuple[int, int]]]:
-        """The text with what can be recovered, and the garbled stretches of the original."""
-        if not text or text.isascii():
-            return text, []
-        pieces, at, garbled = [], 0, []
+    def _found(self, text: str) -> Iterator[tuple[int, int, str]]:
+        """(from, to, original) of the runs that undo to something else."""
+        at = 0
         for lo, hi in self.runs(text):
             for m in _HIGH.finditer(text, max(lo, at), hi):
                 fixed, changed = repair_run(m.group())
                 if changed:
-                    garbled.append(m.span())
-                    pieces += [text[at : m.start()], fixed]
                     at = m.end()
-                elif LOST in m.group():
-                    garbled.append(m.span())
-        text = "".join(pieces) + text[at:]
-        # words of one byte a letter can be told only once all sequences are undone
-        pieces, at = [], 0
-        for lo, hi, fixed in single_byte(text):
-            pieces += [text[at:lo], fixed]
-            at = hi
-            garbled.append((lo, hi))
-        return "".join(pieces) + text[at:], garbled
+                    yield m.start(), at, fixed
 
+    def examine(self, text: str | None) -> tuple[str | None, list[tuple[int, int]]]:
+        """The text with what can be recovered, and the garbled stretches of the original."""
+        if not text or text.isascii():
+            return text, []
+        garbled = [m.span() for m in _LOST.finditer(text)]  # what these hid is gone, whatever stands beside them
+        for find in (self._found, lambda t: single_byte(t, self.runs(t))):
+            # words of one byte a letter can be told only once all sequences are undone
+            pieces, at = [], 0
+            for lo, hi, fixed in find(text):
+                garbled.append((lo, hi))
+                pieces += [text[at:lo], fixed]
+                at = hi
+            text = "".join(pieces) + text[at:]
+        return text, garbled
 
     def garbled(self, text: str) -> list[tuple[int, int]]:
-        """Stretches [from, to) of the text that undo to something else, or are lost."""
-        out: list[tuple[int, int]] = []
-        for lo, hi in self.runs(text):
-            for m in _HIGH.finditer(text, max(lo, out[-1][1] if out else 0), hi):
-                if LOST in m.group() or repair_run(m.group())[1]:
-                    out.append(m.span())
-        return out
+        """Stretches [from, to) of the text that undo to something else, or are lost, in order and apart."""
+        found = sorted([(lo, hi) for lo, hi, _ in self._found(text)] + [m.span() for m in _LOST.finditer(text)])
+        return [x for i, x in enumerate(found) if not i or x[0] >= found[i - 1][1]]
 
 
 def pair_table(df: DataFrame, text_col: str) -> dict[str, float]:
-    """Surprisal in bits of the character pairs around characters beyond ASCII.
+    """Mutual information in bits of adjacent characters of which one is beyond ASCII.
 
-    Counts cover all texts: pairs are summed inside each batch, then over the cluster. With
-    PMI(x, y) = log p(x, y) / (p(x) p(y)), the surprisal is -(PMI + log p(x) + log p(y)).
-    Only the most frequent ``TABLE`` pairs come to the driver.
+    PMI(x, y) = log2 p(x, y) / (p(x) p(y)), with characters and pairs counted in all texts:
+    summed in each task, then over the cluster. Pairs above the share ``RARE`` come to the driver.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total: Counter[str] = Counter()
-        size = 0
+        plain = np.zeros(256, dtype=np.int64)
+
+        def flush() -> pa.RecordBatch:
+            out = pa.RecordBatch.from_arrays([pa.array(list(total), pa.string()), pa.array(list(total.values()), pa.int64())], names=["chars", "n"])
+            total.clear()
+            return out
+
         for batch in batches:
             for text in batch.column(0).to_pylist():
-                size += len(text)
+                plain += np.bincount(np.frombuffer(text.encode(), dtype=np.uint8), minlength=256)
                 if text.isascii():
                     continue
                 for m in _HIGH.finditer(text):
-                    part = text[max(0, m.start() - _CONTEXT) : m.end() + _CONTEXT]
+                    part = text[max(0, m.start() - 1) : m.end() + 1]
+                    total.update(m.group())
                     total.update(map("".join, zip(part, part[1:])))
-        yield pa.RecordBatch.from_arrays([pa.array(["", *total]), pa.array([size, *total.values()], pa.int64())], names=["pair", "n"])
+            if len(total) > COUNTER:
+                yield flush()
+        total.update({chr(i): int(n) for i, n in enumerate(plain[:128]) if n})
+        yield flush()
 
     texts = df.select(F.col(text_col).cast("string")).where(F.col(text_col).isNotNull())
-    counts = texts.mapInArrow(run, "pair string, n long").groupBy("pair").agg(F.sum("n").alias("n"))
-    rows = counts.orderBy(F.desc("n"), "pair").limit(TABLE + 1).collect()
-    size = max(1, next((r["n"] for r in rows if r["pair"] == ""), 1))
-    return {r["pair"]: -math.log2(max(r["n"], 1) / size) for r in rows if r["pair"]}
+    counts = checkpoint(texts.mapInArrow(run, "chars string, n long").groupBy("chars").agg(F.sum("n").alias("n")))
+    single = counts.where(F.char_length("chars") == 1)
+    size = single.agg(F.sum("n")).first()[0] or 1
+    pairs = counts.where((F.char_length("chars") == 2) & (F.col("n") >= RARE * size))
+    first, second = (single.select(F.col("chars").alias(k), F.col("n").alias(f"n_{k}")) for k in "xy")
+    joined = pairs.withColumns({"x": F.substring("chars", 1, 1), "y": F.substring("chars", 2, 1)}).join(first, "x").join(second, "y")
+    return {r["chars"]: math.log2(r["n"] * size / (r["n_x"] * r["n_y"])) for r in joined.select("chars", "n", "n_x", "n_y").collect()}
 
 
 def repair(df: DataFrame, id_col: str = "doc_id", text_col: str = "raw_text") -> DataFrame:
@@ -273,7 +288,8 @@ def repair(df: DataFrame, id_col: str = "doc_id", text_col: str = "raw_text") ->
 
     ``garbled`` tells whether the text holds characters that come from a wrong decoding,
     replacement characters included; what they hid cannot be recovered and stays. Null and
-    ASCII texts come out as they are. One row in gives one row out.
+    ASCII texts come out as they are. One row in gives one row out. The table of pairs is
+    broadcast; ``RARE`` bounds it.
     """
     schema = T.StructType([T.StructField(id_col, df.schema[id_col].dataType), T.StructField("garbled", T.BooleanType()), T.StructField("repaired_text", T.StringType()), T.StructField("garbled_chars", T.LongType())])
     sent = df.sparkSession.sparkContext.broadcast(pair_table(df, text_col))

@@ -49,3 +49,29 @@ def test_frame(spark):
     got = {r.doc_id: r for r in encoding.repair(df).collect()}
     assert got[1].repaired_text == "café" and got[3].repaired_text is None and got[5].repaired_text == "é" * 20000
     assert encoding.find_garbled(df.where("false")).count() == 0
+
+
+def test_the_mutual_information_decides(spark):
+    """A pair that meets by chance only is left alone, though it could be undone; without the table it is tested."""
+    text = "".join(a + b for a in "Ã©xyzuvw" for b in "Ã©xyzuvw")  # any two follow each other
+    rows = [(i, text * 5) for i in range(20)]
+    df = spark.createDataFrame(rows, "doc_id bigint, raw_text string")
+    table = encoding.pair_table(df, "raw_text")
+    assert table["Ã©"] < encoding.CUTOFF
+    assert encoding.Detector(table).examine(text) == (text, []) and encoding.Detector({}).examine(text)[1]
+    assert encoding.find_garbled(df).count() == 0
+
+
+def test_pair_table_is_the_brute_force(spark):
+    import math
+    from collections import Counter
+
+    texts = ["naïve cafÃ© – é", "x", "", None, "ÃÃ©é©", "日本語 and 日本", "👩‍💻é"]
+    df = spark.createDataFrame([(t,) for t in texts], "t string").repartition(3)
+    chars = Counter(c for t in texts if t for c in t)
+    pairs = Counter(a + b for t in texts if t for a, b in zip(t, t[1:]) if not (a + b).isascii())
+    size = sum(chars.values())
+    expected = {p: math.log2(n * size / (chars[p[0]] * chars[p[1]])) for p, n in pairs.items()}
+    got = encoding.pair_table(df, "t")
+    assert got.keys() == expected.keys() and all(abs(got[p] - expected[p]) < 1e-9 for p in got)
+    assert encoding.pair_table(df.where("false"), "t") == {}
