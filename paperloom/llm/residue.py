@@ -1,8 +1,8 @@
 """Problem 10: records that are template leftovers or the answer of a server.
 
 Placeholders are read with one grammar for each kind of delimiter. Inline code, fenced
-blocks, attributes and control blocks around a match count against it, and what is left
-must be dense enough to make up the record's own names. Notices and filler text count only
+blocks, control blocks and lines that explain a field count against it, and what is left
+must be dense enough among the words seen to be the record's own names. Notices and filler text count only
 if they make up the record.
 """
 
@@ -106,8 +106,15 @@ _NOTICE = re.compile(
 #: A notice or dummy text makes up a record only if hardly anything stands beside it: so many words are seen, of 40
 #: characters on an average at most, as text without blanks (minified data, other scripts) is no single word.
 NOTICE_WORDS = 60
+#: A page may ask for scripts beside its content; then more words than these stand in its other parts.
+BESIDE_WORDS = 30
+_PART = re.compile(r"<[^<>]*>|\n")
 FILLER_SHARE = 0.6
-LEAST_FIELDS = 2
+#: Fields must be dense enough to be the record's own names: several, and one in so many seen words, as a head of names
+#: stands for a file of that length; a field alone must be nearly all there is.
+LEAST_FIELDS, WORDS_A_FIELD, WORDS_ALONE = 2, 400, 8
+#: A line that tells what becomes of a field names nothing by it.
+_EXPLAINS = re.compile(r"\b(?:replac(?:e|es|ed|ing)|substitut\w+|interpolat\w+|placeholders?|expands? (?:to|into)|expanded|rendered|fills? in|filled in|for example|for instance|e\.g\.|such as|syntax|tutorial|docs?|documentation)\b", re.I)
 
 
 def _own_text(text: str) -> str:
@@ -115,19 +122,31 @@ def _own_text(text: str) -> str:
     return _INLINE.sub(" ", _FENCE.sub(" ", text)) if "`" in text or "~~~" in text else text
 
 
+def _told(own: str, m: re.Match) -> bool:
+    """Whether the line of a match explains the field."""
+    begin, end = own.rfind("\n", 0, m.start()) + 1, own.find("\n", m.end())
+    return bool(_EXPLAINS.search(own[begin : m.start()] + " " + own[m.end() : end if end >= 0 else len(own)]))
+
+
 def _placeholder(text: str, path: str | None) -> bool:
     if not _ANY.search(text) or path and _TEMPLATE_PATH.search(path) or _CONTROL.search(text):
         return False
     own = _own_text(text)
+    count = 0
     for kind, grammar in _GRAMMARS.items():
-        found = grammar.findall(own)
+        found = list(grammar.finditer(own))
         if kind == "underscore" and found:
-            found = [x for x in found if x not in _OWN_NAMES]
+            found = [m for m in found if m.group(1) not in _OWN_NAMES]
             found = found[: max(0, len(found) - len(_DUNDER.findall(own)))]
         elif kind == "angle" and found:
             low = own.lower()
-            found = [x for x in found if f"</{x.lower()}>" not in low]
-        if len(found) >= LEAST_FIELDS:
+            found = [m for m in found if f"</{m.group(1).lower()}>" not in low]
+        found = [m for m in found if not _told(own, m)]
+        if not found:
+            continue
+        count = count or sum(1 for _ in _WORD.finditer(own))
+        # one angle or pair of underscores alone is a language's own
+        if count <= (WORDS_A_FIELD * len(found) if len(found) >= LEAST_FIELDS else 0 if kind in ("angle", "underscore") else WORDS_ALONE):
             return True
     return False
 
@@ -183,7 +202,7 @@ def kinds_of(text: str | None, path: str | None = None) -> list[str]:
     markup, plain = _seen(text)
     words = plain.split()
     if len(words) <= NOTICE_WORDS and sum(map(len, words)) <= 40 * NOTICE_WORDS and not _is_code(plain):
-        if _NOTICE.search(plain):
+        if _NOTICE.search(plain) and sum(len(part.split()) for part in _PART.split(markup) if not _NOTICE.search(part)) <= BESIDE_WORDS:
             out.append("script_notice")
         elif _ERROR.search(markup) or _ERROR.search(plain):
             out.append("error_page")

@@ -64,3 +64,29 @@ def test_frame(spark):
     df = spark.createDataFrame([(1, "404: Not Found", "a", "x"), (1, "404: Not Found", "a", "x"), (2, "real text", "b", "x"), (3, None, None, "x")], "doc_id bigint, text string, path string, kind string")
     assert [tuple(r) for r in residue.find_residue(df).collect()] == [(1, "error_page")]
     assert sorted(r.doc_id for r in residue.without_residue(df).collect()) == [2, 3] and residue.find_residue(df.where("false").drop("path")).count() == 0
+
+
+def test_density_decides_on_fields():
+    prose = "This engine reads ledgers of many branches and balances them at the end of each day. " * 1400
+    assert residue.kinds_of("{{project_name}} by {{author}}\n" + prose) == []
+    assert residue.kinds_of("{{project_name}} by {{author}}\n" + prose[:1500]) == ["placeholder"]
+    assert residue.kinds_of("# {{project_name}}") == ["placeholder"] and residue.kinds_of("# ${author}\n\n") == ["placeholder"]
+    # a field alone in a text, and what a language writes so
+    assert residue.kinds_of("# {{project_name}}\n" + prose[:300]) == [] and residue.kinds_of("<title>x</title>") == [] and residue.kinds_of("print(__name__)") == []
+
+
+def test_lines_that_explain_fields_are_no_case():
+    assert residue.kinds_of("Replace {{project_name}} with the name.\nFor example {{author}} becomes you.") == []
+    assert residue.kinds_of("```\n{{project_name}} {{author}}\n```\nThe block above is `{{author}}`.") == []
+
+
+def test_a_page_with_content_beside_its_notice_is_no_case():
+    notice = "<noscript>Charts need scripts; the table below works without.</noscript>"
+    assert residue.kinds_of(f"<html><body>{notice}<p>Loading</p></body></html>") == ["script_notice"]
+    rows = "".join(f"<li>branch {i} sold much more grain than wool</li>" for i in range(5))
+    assert residue.kinds_of(f"<html><body>{notice}<ul>{rows}</ul></body></html>") == []
+
+
+def test_markup_of_any_length_is_not_seen():
+    style = "<style>" + ".a{color:red}\n" * 400 + "</style>"
+    assert residue.kinds_of(f"<html><head>{style}</head><body><h1>404 Not Found</h1></body></html>") == ["error_page"]
