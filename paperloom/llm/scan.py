@@ -2,8 +2,9 @@
 
 Page furniture is found as numbered series of lines and the headings beside them, words
 that a hyphen splits over two lines are put together where the vocabulary knows the whole,
-and misread words are looked up by intersecting an automaton of the token, whose edits are
-the confusions of scanning, with a trie of the vocabulary.
+and misread words are looked up by intersecting the token's Levenshtein automaton, in which
+the confusions of scanning are cheaper than other edits, with a trie of the vocabulary. Of
+several words the one that the neighbouring words speak for stands.
 """
 
 from __future__ import annotations
@@ -11,14 +12,14 @@ from __future__ import annotations
 import math
 import re
 from collections import Counter, defaultdict
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from paperloom.llm.vocabulary import Trie, vocabulary
+from paperloom.llm.vocabulary import _WORD, Trie, vocabulary
 
 KINDS = ("hyphen_break", "misread", "page_furniture")
 
@@ -27,13 +28,20 @@ CONFUSIONS = [
     ("@", "a"), ("+", "t"), ("!", "i"), ("!", "l"), ("0", "o"), ("0", "O"), ("|", "l"), ("|", "I"), ("$", "s"), ("$", "S"), ("1", "l"), ("1", "i"), ("1", "I"),
     ("9", "g"), ("5", "s"), ("5", "S"), ("8", "B"), ("6", "b"), ("6", "G"), ("cl", "d"), ("d", "cl"), ("ii", "u"), ("li", "h"), ("rn", "m"), ("m", "rn"), ("vv", "w"), ("VV", "W"), ("c", "e"), ("l", "I"), ("I", "l"), ("€", "e"), ("£", "E"), ("(", "c"), ("¢", "c"),
 ]
-_SWAPS: dict[str, list[tuple[str, str]]] = defaultdict(list)
+#: Letters of like shape, which a scan may take for each other one by one, as a typing slip may too.
+ALIKE = [("o", "c"), ("c", "o"), ("u", "n"), ("n", "u"), ("l", "t"), ("t", "l"), ("l", "i"), ("i", "l"), ("i", "r"), ("r", "i"), ("h", "b"), ("b", "h"), ("f", "t"), ("t", "f"), ("e", "o"), ("o", "e")]
+#: Costs of a confusion, of a letter for one of like shape and of any other edit, and the most of a word: three
+#: confusions, two letters of like shape, or one edit beside a confusion. An edit alone is a slip and no misreading.
+CONFUSED, SHAPED, EDITED, MOST_COST = 20, 30, 41, 61
+_SWAPS: dict[str, list[tuple[str, str, int]]] = defaultdict(list)
 for _read, _meant in CONFUSIONS:
-    _SWAPS[_read[0]].append((_read, _meant))
+    _SWAPS[_read[0]].append((_read, _meant, CONFUSED))
+_SHAPES: dict[str, list[tuple[str, str, int]]] = defaultdict(list, {k: list(v) for k, v in _SWAPS.items()})
+for _read, _meant in ALIKE:
+    _SHAPES[_read].append((_read, _meant, SHAPED))
 #: Confusions with signs and digits, which typing slips do not make, and with letters, which they may.
 _SIGN = re.compile(r"[@+!|$0-9€£¢]")
 _PAIRS = re.compile(r"rn|cl|ii|li|vv|VV")
-MOST_ERRORS = 3
 #: How much commoner the printed word must be than the token.
 RATIO = 25.0
 
@@ -46,7 +54,7 @@ _NUMBERED = (
     ("short", re.compile(r"(?:p|s|pg|pag|str)\.\s*(\d{1,4})", re.I), False),
     ("square", re.compile(r"\[\s*(\d{1,3})\s*\]"), False),
     ("dashes", re.compile(r"[-–—~]\s*(\d{1,3})\s*[-–—~]"), False),
-    ("of", re.compile(r"(\d{1,3})\s*(?:/|of|von)\s*(\d{1,3})", re.I), False),
+    ("of", re.compile(r"(\d{1,3})\s*(?:/|\||of|von)\s*(\d{1,3})", re.I), False),
     ("bare", re.compile(r"(\d{1,3})"), False),
 )
 _HEADING_GAP = 8
@@ -111,6 +119,8 @@ def furniture(lines: list[str]) -> set[int]:
                 best = chain
         if len(best) >= 2 or alone and any(0 < n <= total for _, n, total in found):
             numbers.update(best)
+        # a number of so many pages beside a page feed stands for itself
+        numbers.update(i for i, n, total in found if 0 < n <= total and feeds & {i - 1, i, i + 1})
     out = set(numbers)
     around: Counter[str] = Counter()
     places: dict[str, list[int]] = defaultdict(list)
@@ -149,9 +159,10 @@ class Reader:
     worked out where they are not given; this takes a look-up of each word.
     """
 
-    def __init__(self, words: dict[str, int], texts: int, wrong: frozenset[str] | None = None):
+    def __init__(self, words: dict[str, int], texts: int, wrong: frozenset[str] | None = None, pairs: dict[str, int] | None = None):
         self.counts = words
         self.least = max(3, texts / 2000)
+        self.pairs = pairs or {}
         #: counts whatever the case: a name may well be a common word, and a misread form stands at the head of a line too
         self.folded: Counter[str] = Counter()
         for w, n in words.items():
@@ -159,7 +170,7 @@ class Reader:
         self.store: dict[str, list[tuple[str, int, int]]] = {}
         if wrong is None:
             self._fill(words)
-            wrong = frozenset(w for w in words if self.meant(w))
+            wrong = frozenset(w for w in words if self._accepted(w, self._confused(w)))
             self.store.clear()
         self.wrong = wrong
         self.right = words.keys() - wrong
@@ -171,33 +182,65 @@ class Reader:
         self.trie = Trie(self.words)
 
     def meant(self, token: str) -> list[tuple[str, int, int]]:
-        """Words of the vocabulary that scanning could have turned into the token."""
+        """Words of the vocabulary that scanning could have turned into the token, with costs and counts."""
         found = self.store.get(token)
         if found is None:
             if len(self.store) > 300_000:
                 self.store.clear()
-            found = self.store[token] = [(w, c, n) for w, c, n in self._meant(token) if w.lower() != token.lower()]
+            found = self.store[token] = self._meant(token)
         return found
 
-    def _meant(self, token: str) -> list[tuple[str, int, int]]:
+    def _readable(self, token: str) -> bool:
         letters = sum(c.isalpha() for c in token)
-        if len(token) < 4 or letters < 3 or letters < 0.5 * len(token) or len(token) > 40:
+        return 4 <= len(token) <= 40 and letters >= 3 and letters >= 0.5 * len(token)
+
+    def _confused(self, token: str) -> list[tuple[str, int, int]]:
+        """Words that confusions alone turn into the token; the case of the first letter may be a heading's."""
+        if not self._readable(token):
             return []
-        found = self.trie.within(token, MOST_ERRORS, _SWAPS, edits=False)
+        found = self.trie.within(token, MOST_COST, _SWAPS, edits=0)
         if not found and token[0].isupper() and not token.isupper():
             small = token[0].lower() + token[1:]
-            found = [(w[0].upper() + w[1:], c, n) for w, c, n in self.trie.within(small, MOST_ERRORS, _SWAPS, edits=False)]
+            found = [(w[0].upper() + w[1:], c, n) for w, c, n in self.trie.within(small, MOST_COST, _SWAPS, edits=0)]
         if not found and token[0].islower():
-            found = [(w[0].lower() + w[1:], c, n) for w, c, n in self.trie.within(token[0].upper() + token[1:], MOST_ERRORS, _SWAPS, edits=False) if w[1:].islower()]
-        if not found and token.isupper():
-            pass
+            found = [(w[0].lower() + w[1:], c, n) for w, c, n in self.trie.within(token[0].upper() + token[1:], MOST_COST, _SWAPS, edits=0) if w[1:].islower()]
+        return found
+
+    def _accepted(self, token: str, found: list[tuple[str, int, int]]) -> list[tuple[str, int, int]]:
+        """Those of the words that are so much commoner than the token that it is no word of its own."""
+        found = [x for x in found if x[0].lower() != token.lower()]
         count = self.folded.get(token.lower(), 0)
         if count:  # the vocabulary has the token: a word of its own, or a misreading that is frequent
             return [(w, c, n) for w, c, n in found if self.folded[w.lower()] >= RATIO * count]
         return [(w, c, n) for w, c, n in found if n >= RATIO / 3]
 
-    def misread(self, text: str) -> list[tuple[int, int, str, bool]]:
-        """(from, to, word, sure) of misread tokens. Of several words the best in context stands."""
+    def _meant(self, token: str) -> list[tuple[str, int, int]]:
+        found = self._accepted(token, self._confused(token))
+        if found or token.lower() in self.folded or not self._readable(token) or len(token) < 6:
+            return found
+        if token.islower() and token.isalpha():
+            found = [x for x in self.trie.within(token, MOST_COST, _SHAPES, edits=0) if x[2] >= RATIO]
+        if not found and (_SIGN.search(token) or _PAIRS.search(token)):
+            found = [x for x in self.trie.within(token, MOST_COST, _SWAPS, edits=EDITED) if x[1] > EDITED and x[2] >= RATIO]
+        return self._accepted(token, found)
+
+    def _likeliest(self, found: list[tuple[str, int, int]], before: str, after: str, own: set[str]) -> str:
+        """The word that its frequency, this text and the neighbours speak for most, and the edits least."""
+
+        def points(x: tuple[str, int, int]) -> float:
+            word, cost, n = x
+            low = word.lower()
+            beside = self.pairs.get(f"{before.lower()} {low}", 0) + self.pairs.get(f"{low} {after.lower()}", 0)
+            return math.log(n + 1) + 2 * math.log(beside + 1) + 2 * (word in own) - 3 * cost / CONFUSED
+
+        return max(found, key=lambda x: (points(x), x[0]))[0]
+
+    def misread(self, text: str) -> list[tuple[int, int, str, float]]:
+        """(from, to, word, witness) of misread tokens.
+
+        A sign, digit or pair of letters that no typing slip gives is a witness of 1 by itself, a
+        confusion of letters of 0.5, and a letter of like shape of 0.35.
+        """
         out = []
         right, own = self.right, None
         for m in _TOKEN.finditer(text):
@@ -217,13 +260,17 @@ class Reader:
                 continue
             if own is None:
                 own = set(_TOKEN.findall(text))
-            word, _, _ = max(found, key=lambda x: (math.log(x[2] + 1) + 2 * (x[0] in own) - 3 * x[1], x[0]))
+            word = found[0][0]
+            if len(found) > 1:
+                before, after = _TOKEN.findall(text[max(0, begin - 60) : begin])[-1:], _TOKEN.search(text, end)
+                word = self._likeliest(found, before[0] if before else "", after.group() if after else "", own)
+            cost = next(c for w, c, _ in found if w == word)
             sure = bool(_SIGN.search(token)) or len(token) >= 5 and len(token) > len(word) and bool(_PAIRS.search(token))
-            out.append((begin, end, word, sure))
+            out.append((begin, end, word, 1.0 if sure else 0.5 if cost % CONFUSED == 0 else 0.35))
         return out
 
     def known(self, word: str) -> bool:
-        return word in self.counts or word.lower() in self.lower or bool(self.meant(word))
+        return word in self.counts or word.lower() in self.lower or bool(self._accepted(word, self._confused(word)))
 
     def breaks(self, lines: list[str]) -> list[int]:
         """Numbers of the lines that end in the first part of a word."""
@@ -266,8 +313,7 @@ class Reader:
             kept[i + 1] = tail
         joined = "\n".join(kept)
         wrong = self.misread(joined)
-        sure = sum(s for *_, s in wrong)
-        if sure >= 1 or len(wrong) >= 2:
+        if sum(x for *_, x in wrong) >= 1:
             kinds.append("misread")
             pieces, at = [], 0
             for begin, end, word, _ in wrong:
@@ -293,17 +339,45 @@ def reflow(text: str) -> str:
     return "\n".join(out)
 
 
+def rivals(reader: Reader) -> frozenset[str]:
+    """Words of which a misread form could as well be another word's: the ones that only neighbours can tell apart."""
+    out: set[str] = set()
+    for word in reader.words:
+        for read, meant in CONFUSIONS:
+            at = word.find(meant)
+            if at >= 0:
+                form = word[:at] + read + word[at + len(meant) :]
+                found = {w.lower() for w, _, _ in reader._accepted(form, reader._confused(form))}
+                if len(found) > 1:
+                    out |= found
+    return frozenset(out)
+
+
+def beside(words: frozenset[str]) -> Callable[[str], set[str]]:
+    """Counts of the pairs that these words form with the words before and after them: what of a text is counted."""
+
+    def pairs(text: str) -> set[str]:
+        own = _WORD.findall(text.lower())
+        return {f"{a} {b}" for a, b in zip(own, own[1:]) if a in words or b in words}
+
+    return pairs
+
+
 def clean(df: DataFrame, id_col: str = "doc_id", text_col: str = "raw_text") -> DataFrame:
     """(id, kinds, clean_text) of each text.
 
     ``kinds`` lists the kinds of scanning noise in it, and ``clean_text`` is the text
     without them, as continuous paragraphs; a text without noise comes out as it is, a null
     text as null with no kinds. One row in gives one row out. The vocabulary covers all
-    texts; it is broadcast, and its size is bounded (see vocabulary.SHARE). Its misread
-    forms are worked out once, before it is sent.
+    texts; it is broadcast, and its size is bounded (see vocabulary.SHARE), as is that of
+    the pairs of words that are counted for the words that only neighbours can tell apart.
+    Its misread forms are worked out once, before it is sent.
     """
     words, texts = vocabulary(df, text_col)
-    sent = df.sparkSession.sparkContext.broadcast((words, texts, Reader(words, texts).wrong))
+    reader = Reader(words, texts)
+    alike = rivals(reader)
+    pairs = vocabulary(df, text_col, beside(alike))[0] if alike else {}
+    sent = df.sparkSession.sparkContext.broadcast((words, texts, reader.wrong, pairs))
     schema = T.StructType([T.StructField(id_col, df.schema[id_col].dataType), T.StructField("kinds", T.ArrayType(T.StringType())), T.StructField("clean_text", T.StringType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

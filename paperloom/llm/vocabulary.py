@@ -70,12 +70,13 @@ class Trie:
                 node = node.setdefault(char, {})
             node[""] = n
 
-    def within(self, word: str, most: int, swaps: dict[str, list[tuple[str, str]]] | None = None, edits: bool = True) -> list[tuple[str, int, int]]:
+    def within(self, word: str, most: int, swaps: dict[str, list[tuple]] | None = None, edits: int = 1) -> list[tuple[str, int, int]]:
         """(vocabulary word, cost, weight) of all words that the automaton of ``word`` accepts.
 
         The automaton's states are (place in the word, cost so far). It moves along the trie
-        with equal characters, with ``swaps`` (read -> meant, by first character read; each
-        costs 1) and, where asked for, with Levenshtein's edits. Retrieval is complete.
+        with equal characters, with ``swaps`` (read, meant and, if not 1, the cost, by first
+        character read) and with Levenshtein's edits, which cost ``edits`` each; 0 means
+        none. Retrieval is complete.
         """
         swaps = swaps or {}
         best: dict[str, tuple[int, int]] = {}
@@ -94,23 +95,22 @@ class Trie:
                 char = word[at]
                 if char in node:
                     stack.append((node[char], spelled + char, at + 1, cost))
-                if cost < most:
-                    for read, meant in swaps.get(char, ()):
-                        if word.startswith(read, at):
-                            down = node
-                            for c in meant:
-                                down = down.get(c)
-                                if down is None:
-                                    break
-                            if down is not None:
-                                stack.append((down, spelled + meant, at + len(read), cost + 1))
-            if edits and cost < most:
+                for read, meant, *own in swaps.get(char, ()):
+                    after = cost + (own[0] if own else 1)
+                    if after <= most and word.startswith(read, at):
+                        down = node
+                        for c in meant:
+                            down = down.get(c)
+                            if down is None:
+                                break
+                        if down is not None:
+                            stack.append((down, spelled + meant, at + len(read), after))
+            if edits and cost + edits <= most:
                 if at < len(word):
-                    stack.append((node, spelled, at + 1, cost + 1))
+                    stack.append((node, spelled, at + 1, cost + edits))
                 for c, down in node.items():
                     if c:
-                        stack.append((down, spelled + c, at, cost + 1))
+                        stack.append((down, spelled + c, at, cost + edits))
                         if at < len(word) and c != word[at]:
-                            stack.append((down, spelled + c, at + 1, cost + 1))
+                            stack.append((down, spelled + c, at + 1, cost + edits))
         return [(w, cost, n) for w, (cost, n) in best.items()]
-

@@ -87,3 +87,55 @@ def test_frame(spark):
     df = spark.createDataFrame(rows, "doc_id bigint, raw_text string, kind string")
     assert [tuple(r) for r in scan.find_noise(df).collect()] == [(40, "misread")]
     assert scan.clean(df).count() == 43 and scan.find_noise(df.where("false")).count() == 0
+
+
+def test_letters_of_like_shape_need_witnesses():
+    reader = scan.Reader({w: 400 for w in "engineering workflow planner product holding modern management".split()}, 4000)
+    kinds, text = reader.examine("engineeiing of a wcrkflow, a plauner, the producl and holdlng")
+    assert kinds == ["misread"] and text == "engineering of a workflow, a planner, the product and holding"
+    assert reader.examine("one plauner and a wcrkflow")[0] == []  # two may be slips
+    assert reader.examine("the plauner of a rnodern work")[1] == "the planner of a modern work"
+    # an edit beside a confusion; an edit alone is a slip
+    assert reader.examine("the rnanagemet was rnodern")[1] == "the management was modern" and reader.examine("the managemet was modern")[0] == []
+
+
+def test_weighted_automaton_is_the_brute_force():
+    import random
+
+    rng = random.Random(2)
+    words = sorted({"".join(rng.choice("mnrcd") for _ in range(rng.randrange(1, 5))) for _ in range(60)})
+    trie = Trie({w: 1 for w in words})
+    swaps = {"r": [("rn", "m", 20)], "c": [("cl", "d", 20), ("c", "d", 30)]}
+
+    def cost(a, b, store):
+        key = (len(a), len(b))
+        if key not in store:
+            ways = [cost(a[1:], b[1:], store)] if a and b and a[0] == b[0] else []
+            ways += [c + cost(a[len(x) :], b[len(y) :], store) for s in swaps.values() for x, y, c in s if a.startswith(x) and b.startswith(y)]
+            ways += [41 + cost(a[1:], b, store)] if a else []
+            ways += [41 + cost(a, b[1:], store)] if b else []
+            ways += [41 + cost(a[1:], b[1:], store)] if a and b else []
+            store[key] = min(ways, default=0)
+        return store[key]
+
+    for _ in range(80):
+        token = "".join(rng.choice("mnrcl") for _ in range(rng.randrange(1, 6)))
+        expected = {(w, d) for w in words for d in [cost(token, w, {})] if d <= 61}
+        assert {(w, c) for w, c, _ in trie.within(token, 61, swaps, 41)} == expected
+
+
+def test_neighbours_decide_between_rivals(spark):
+    """corner and comer: "cor" and "com" of one misread form, told by what stands beside them."""
+    texts = ["turn round the street corner now and a late comer came in"] * 30
+    misread = ["round the street c0mer now bi1ling", "and a late c0mer came bi1ling", "billing billing"]
+    rows = [(i, t) for i, t in enumerate(texts + misread + ["billing"] * 30)]
+    words = {"corner": 30, "comer": 30, "billing": 60, "street": 30, "late": 30}
+    reader = scan.Reader(words, 4000)
+    assert {"corner", "comer"} <= scan.rivals(reader)
+    got = {r.doc_id: r.clean_text for r in scan.clean(spark.createDataFrame(rows, "doc_id bigint, raw_text string")).collect()}
+    assert got[30] == "round the street corner now billing" and got[31] == "and a late comer came billing"
+
+
+def test_page_numbers_with_a_bar():
+    assert scan.furniture(["text", "1 | 3", "\f", "more", "2 | 3"]) == {1, 4} and scan.furniture(["text", "2 | 5", "\f", "more"]) == {1}
+    assert scan.furniture(["text", "2 | 5", "more"]) == set()
