@@ -88,6 +88,9 @@ SAME_COLUMN, LEAST_BLOCKS, LEAST_HEIGHT, LEAST_MIDDOTS = 25, 3, 0.25, 2
 # Caps of a report's scores.
 RED_FLAGS, RED_FLAG_ROWS, RED_CAP, FAILED_CAP = ["not found", "limited"], 3, (75, 50), (30, 5)
 
+# Bounds of an explanation.
+MOST_CATEGORIES, LONGEST_CATEGORY = 7, 60
+
 # Names shown for labelled metrics.
 METRIC_NAMES = {
     "bleu": "BLEU Score", "rouge": "ROUGE Score", "f1": "F1 Score", "f1score": "F1 Score", "map": "mAP", "iou": "IoU", "auc": "AUC", "rocauc": "ROC-AUC",

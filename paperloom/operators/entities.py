@@ -14,6 +14,7 @@ from paperloom.functions import lexicon as L
 from paperloom.functions.text import DIGIT, NOT_WORD, WS, WS_IN, let, lines, matched_terms, trim, words
 from paperloom.operators import sections
 
+# Forms of mail addresses, phone numbers and profile links.
 EMAIL = r"[a-zA-Z0-9._%+\-]+@[a-zA-Z0-9.\-]+\.[a-zA-Z]{2,}"
 PHONE = rf"(?:\+?{DIGIT}{{1,3}}[{WS_IN}\-]?)?\(?{DIGIT}{{2,4}}\)?[{WS_IN}\-]?{DIGIT}{{3,4}}[{WS_IN}\-]?{DIGIT}{{3,4}}"
 LINKEDIN = r"(?i)(?:https?://)?(?:www\.)?linkedin\.com/in/[a-zA-Z0-9_\-]+"
@@ -85,6 +86,7 @@ def has_education(text: Column) -> Column:
 EXPERIENCE_TYPE = T.ArrayType(T.StructType([T.StructField("title", T.StringType()), T.StructField("company", T.StringType()), T.StructField("dates", T.StringType()), T.StructField("bullets", T.ArrayType(T.StringType()))]))
 EDUCATION_TYPE = T.ArrayType(T.StructType([T.StructField(n, T.StringType()) for n in ("degree", "institution", "cgpa", "dates")]))
 
+# Forms of dates, grades and years.
 _M = r"(?:Jan|Feb|Mar|Apr|May|Jun|Jul|Aug|Sep|Oct|Nov|Dec)[a-z]*"
 _SPAN = re.compile(rf"{_M}\s*\d{{4}}\s*[\s–\-]+\s*(?:Present|{_M}\s*\d{{4}}|\d{{4}})|\b\d{{4}}\s*[\s–\-]+\s*(?:Present|\d{{4}})|\b\d{{4}}\b", re.I)
 _GRADE = re.compile(r"(?:CGPA|GPA)[\s:]*([0-9]\.[0-9]{1,2}(?:\s*/\s*[0-9]\.[0-9])?)", re.I)
@@ -141,28 +143,36 @@ def _institution(line: str, years: bool) -> str:
     return " ".join((_YEAR.sub("", line) if years else line).split())
 
 
+def _told(line: str, courses: bool) -> Iterator[tuple[str, str]]:
+    """Fields that a line below a degree may fill, with their values; the first that is still empty takes it."""
+    name = lambda years: _institution(line, years).strip(" -·,")
+    if any(w in line.lower() for w in INSTITUTIONS):
+        yield "institution", name(True)
+    if _YEAR.search(line):
+        yield "dates", " ".join(line.split())
+    elif not courses:
+        yield "institution", name(False)
+
+
 def parse_education(text: str | None) -> list[dict]:
+    """Entries of a degree's line and what the lines below it say. After a list of courses no plain line names an institution."""
     done: list[dict] = []
     courses = False
     for line in filter(None, map(str.strip, (text or "").split("\n"))):
-        low = line.lower()
-        if any(mark in low for mark in COURSES):
+        if any(mark in line.lower() for mark in COURSES):
             courses = True
             continue
-        grade, known = _GRADE.search(line), any(w in low for w in INSTITUTIONS)
+        grade = _GRADE.search(line)
         if _DEGREE.search(line):
             courses = False
-            done.append({"degree": line, "institution": _institution(line, False) if known else "", "cgpa": grade.group(1) if grade else "", "dates": ""})
-        elif done:
-            now, year = done[-1], _YEAR.search(line)
-            if grade and not now["cgpa"]:
-                now["cgpa"] = grade.group(1)
-            if known and not now["institution"]:
-                now["institution"] = _institution(line, True).strip(" -·,")
-            elif year and not now["dates"]:
-                now["dates"] = " ".join(line.split())
-            elif not now["institution"] and not courses and not year:
-                now["institution"] = _institution(line, False).strip(" -·,")
+            named = next((v for f, v in _told(line, True) if f == "institution"), None)
+            done.append({"degree": line, "institution": "" if named is None else _institution(line, False), "cgpa": "", "dates": ""})
+        for field, value in _told(line, courses) if done and not _DEGREE.search(line) else ():
+            if not done[-1][field]:
+                done[-1][field] = value
+                break
+        if grade and done and not done[-1]["cgpa"]:
+            done[-1]["cgpa"] = grade.group(1)
     return done
 
 

@@ -99,6 +99,7 @@ _METRIC = re.compile(
 _LABELLED = re.compile(r"\b(BLEU|ROUGE|F1[- ]?score|F1|mAP|IoU|AUC|ROC[- ]?AUC|RMSE|MAE|R2|R\^2|precision|recall|accuracy)\s*(?:score|of|[:=])?\s*\d+(?:\.\d+)?%?", re.I)
 
 
+# Units of metrics and the names of their placeholders.
 def metric_placeholder(token: str) -> str:
     """Placeholder of a number by its unit."""
     low = token.strip().lower()
@@ -131,9 +132,9 @@ def grounded_metrics(rewrites: pd.Series, texts: pd.Series) -> pd.Series:
 
 
 def aligned_score(breakdown: Column) -> Column:
-    """The score as the sum of its parts, of a map of variants; parts that are no whole numbers count 0."""
+    """The score as the sum of its parts, of a map of variants; parts that are no numbers count 0. Null without a breakdown."""
     parts = F.transform(F.map_values(breakdown), lambda x: F.coalesce(F.try_variant_get(x, "$", "int"), F.lit(0)))
-    return F.greatest(F.lit(0), F.least(F.lit(100), F.aggregate(parts, F.lit(0), lambda total, x: total + x)))
+    return F.when(breakdown.isNotNull(), F.greatest(F.lit(0), F.least(F.lit(100), F.aggregate(parts, F.lit(0), lambda total, x: total + x))))
 
 
 def red_flag_rows(statuses: Column) -> Column:
@@ -166,7 +167,7 @@ def capped_probability(probability: Column, cap: Column) -> Column:
 
 def section_flags(given: Column) -> Column:
     """The twelve flags of a map, false where it says nothing."""
-    return F.create_map(*[x for k in L.FLAGS for x in (F.lit(k), F.coalesce(F.try_element_at(given, F.lit(k)), F.lit(False)))])
+    return F.create_map(*[x for k in L.FLAGS for x in (F.lit(k), F.coalesce(F.element_at(given, F.lit(k)), F.lit(False)))])
 
 
 def safe_defaults(payload: Column) -> dict[str, Column]:
@@ -220,6 +221,32 @@ def unique_notes(rows: DataFrame, id_col: str, pos_col: str = "pos", note_col: s
     return rows.withColumn(note_col, F.when(again, F.format_string(form, F.col(tag_col), F.col(note_col))).otherwise(F.col(note_col)))
 
 
+#: Rows of an evidence matrix.
+MATRIX = "array<struct<requirement:string,status:string,evidence_note:string>>"
+
+
+def matrix_of(payload: Column) -> Column:
+    """Rows of a variant payload's evidence matrix; rows that are no objects go, and so does a matrix that is no list."""
+    rows = F.coalesce(F.try_variant_get(payload, "$.recruiter_evidence_matrix", "array<variant>"), F.expr("array()").cast("array<variant>"))
+    text = lambda row, k: F.try_variant_get(row, f"$.{k}", "string")
+    objects = F.filter(rows, lambda row: F.schema_of_variant(row).startswith("OBJECT"))
+    return F.transform(objects, lambda row: F.struct(*[text(row, k).alias(k) for k in ("requirement", "status", "evidence_note")])).cast(MATRIX)
+
+
+def unique_matrix(matrix: Column, before: str = "[", after: str = " Audit]: ", keep_blank: bool = False) -> Column:
+    """``unique_notes`` for the rows of one report, in their own array."""
+    note = lambda row: trim(F.coalesce(row["evidence_note"], F.lit("")))
+
+    def named(row: Column, place: Column) -> Column:
+        again = (place > 0) & F.exists(F.slice(matrix, 1, place), lambda x: note(x) == note(row))
+        if keep_blank:
+            again = again & (note(row) != "")
+        tagged = F.concat(F.lit(before), F.coalesce(row["requirement"], F.lit("")), F.lit(after), F.coalesce(row["evidence_note"], F.lit("")))
+        return F.struct(row["requirement"].alias("requirement"), row["status"].alias("status"), F.when(again, tagged).otherwise(row["evidence_note"]).alias("evidence_note"))
+
+    return F.transform(matrix, named)
+
+
 def status_mark(status: Column) -> Column:
     """ok, warn or missing, by words in a status. Case counts."""
     holds = lambda *ws: sum((F.contains(status, F.lit(w)).cast("int") for w in ws[1:]), F.contains(status, F.lit(ws[0])).cast("int")) > 0
@@ -232,9 +259,14 @@ def level(value: Column) -> Column:
     return F.when(low.isin("high", "medium", "low"), low).otherwise("medium")
 
 
+def categories_of(payload: Column) -> Column:
+    """Map of the categories that a variant payload's explanation has, or null."""
+    return F.try_variant_get(payload, "$.explainable_scorecard.ats_score.explanation.categories", "map<string,variant>")
+
+
 def within_bounds(categories: Column) -> Column:
-    """Whether an explanation has at most seven categories with keys of at most 60 characters."""
-    return (F.size(categories) <= 7) & ~F.exists(F.map_keys(categories), lambda k: F.length(k) > 60)
+    """Whether an explanation has at most seven categories with keys of at most 60 characters; none is within bounds."""
+    return F.coalesce((F.size(F.map_keys(categories)) <= L.MOST_CATEGORIES) & ~F.exists(F.map_keys(categories), lambda k: F.length(k) > L.LONGEST_CATEGORY), F.lit(True))
 
 
 def content_key(content: Column) -> Column:
@@ -289,10 +321,60 @@ def explained_evidence(evidence: DataFrame, role_data: bool = False) -> DataFram
     return rows.withColumn("evidence_json", F.to_json(F.struct(*rows.columns), {"ignoreNullFields": "false"}))
 
 
+def _within(payload: Column, bounds: dict[str, int]) -> Column:
+    return F.forall(F.array(*[F.coalesce(F.try_variant_get(payload, f"$.explainable_scorecard.{path}", "int").between(0, most), F.lit(False)) for path, most in bounds.items()]), lambda x: x)
+
+
 def valid_score(payload: Column) -> Column:
     """Whether the parts of a report's score are all there and within their bounds."""
-    ok = F.lit(True)
-    for part, most in L.MAXIMA.items():
-        value = F.try_variant_get(payload, f"$.explainable_scorecard.ats_score.breakdown.{part}", "int")
-        ok = ok & F.coalesce(value.between(0, most), F.lit(False))
-    return ok
+    return _within(payload, {f"ats_score.breakdown.{part}": most for part, most in L.MAXIMA.items()})
+
+
+def valid_report(payload: Column) -> Column:
+    """``valid_score``, and whether the four scores of a report are there and of 0 to 100."""
+    return valid_score(payload) & _within(payload, {f"{k}.score": 100 for k in ("ats_score", "technical_depth", "recruiter_signal", "overall_hiring_score")})
+
+
+# ---- a whole report ----
+
+
+@F.pandas_udf(T.ArrayType(T.StringType()))
+def _grounded_rewrites(rewrites: pd.Series, texts: pd.Series) -> pd.Series:
+    return pd.Series([None if a is None else [ground_metrics(x, b) for x in a] for a, b in zip(rewrites, texts)], dtype=object)
+
+
+def finished(df: DataFrame, payload_col: str = "payload", text_col: str = "text") -> DataFrame:
+    """``df`` with ``report``: what a reviewer's payload holds, treated as far as rules can.
+
+    The payload is cleaned and unwrapped, and repaired where it was cut short. Keywords and
+    metrics are grounded in the text, the score is the sum of its parts, the overall score
+    and the probability are capped, missing fields get their defaults, and repetitions go.
+    ``valid`` tells whether the scores are within their bounds. Null where there is no
+    payload, or it holds no object.
+    """
+    whole = parsed(F.col(payload_col))
+    rows = df.withColumn("_v", F.coalesce(whole, parsed(repaired_json(F.col(payload_col)))))
+    v, text = F.col("_v"), F.coalesce(F.col(text_col), F.lit(""))
+    get = lambda path, kind="string": F.try_variant_get(v, f"$.{path}", kind)
+    reviews = F.coalesce(get("individual_project_reviews", "array<variant>"), F.expr("array()").cast("array<variant>"))
+    rows = rows.withColumn("_rewrites", _grounded_rewrites(F.transform(reviews, lambda x: F.try_variant_get(x, "$.star_rewrite.optimized", "string")), text))
+    matrix, defaults = matrix_of(v), safe_defaults(v)
+    missing, strong = keyword_grounding(get("ats_keyword_analysis.missing_keywords", "array<string>"), get("ats_keyword_analysis.strong_keywords", "array<string>"), text)
+    cap, chance = caps(defaults["eligibility_status"], red_flag_rows(F.transform(matrix, lambda x: x["status"])))
+    overall = "explainable_scorecard.overall_hiring_score"
+    plan = {k: plan_items(get(f"priority_action_plan.{k}", "array<string>")).alias(k) for k in ("immediate_fixes_today", "short_term_this_week", "long_term_this_month")}
+    report = F.struct(
+        F.greatest(F.lit(0), F.least(F.lit(100), sum((F.coalesce(get(f"explainable_scorecard.ats_score.breakdown.{k}", "int"), F.lit(0)) for k in L.MAXIMA), F.lit(0)))).alias("ats_score"),
+        capped_score(get(f"{overall}.score"), cap).alias("overall_score"), capped_probability(get(f"{overall}.interview_probability"), chance).alias("interview_probability"),
+        F.array_compact(missing).alias("missing_keywords"), F.array_compact(strong).alias("strong_keywords"), F.col("_rewrites").alias("rewrites"), unique_matrix(matrix).alias("evidence_matrix"),
+        section_flags(get("dashboard_metrics.section_completeness", "map<string,boolean>")).alias("section_completeness"),
+        *[defaults[k].alias(k) for k in ("eligibility_status", "eligibility_title", "is_resume", "confidence_score", "detected_doc_type")], *plan.values(),
+        within_bounds(categories_of(v)).alias("explanation_within_bounds"), valid_report(v).alias("valid"),
+    )
+    return rows.withColumn("report", F.when(v.isNotNull(), report)).drop("_v", "_rewrites")
+
+
+def with_own_score(df: DataFrame) -> DataFrame:
+    """Reports whose score, with its parts, the reason and the issues of the layout, is the deterministic one of the row."""
+    own = F.struct("score", F.struct(*L.MAXIMA).alias("breakdown"), F.col("reason").alias("reason_not_higher"), "parsing_issues")
+    return df.withColumn("report", F.when(F.col("report").isNotNull() & F.col("score").isNotNull(), F.col("report").withField("ats_score", own)))

@@ -131,7 +131,10 @@ def skills(spark: SparkSession, sf: str) -> DataFrame:
 
 @query
 def links(spark: SparkSession, sf: str) -> DataFrame:
-    rows = resumes(spark, sf).select("doc_id", files.links(F.coalesce("raw_text", F.lit(""))).alias("links"))
+    """Web addresses in a resume's text and in those of its publications."""
+    told = F.array_join(F.transform(F.coalesce("publications", F.array()), lambda p: p["url"]), " ")
+    text = F.concat_ws(" ", F.coalesce("raw_text", F.lit("")), told)
+    rows = resumes(spark, sf).select("doc_id", files.links(text).alias("links"))
     return rows.select("doc_id", F.posexplode("links").alias("pos", "url")).select("doc_id", F.col("pos").cast("bigint").alias("pos"), "url")
 
 
@@ -234,6 +237,14 @@ def ats_evidence(spark: SparkSession, sf: str) -> DataFrame:
     return _scored(spark, sf).select("doc_id", *[F.col(k).cast("bigint").alias(k) for k in counts], *ratios, *flags)
 
 
+@query
+def evidence_json(spark: SparkSession, sf: str) -> DataFrame:
+    """The evidence as JSON text, and what is read from it again."""
+    rows = scoring.serialized(_scored(spark, sf))
+    read = lambda k: F.get_json_object("evidence", f"$.{k}")
+    return rows.select("doc_id", *_longs(score=read("score"), match_count=read("match_count"), word_count=read("word_count")), read("bullet_ratio").cast("double").alias("bullet_ratio"), read("email_present").cast("boolean").alias("email_present"))
+
+
 @query
 def ats_reason(spark: SparkSession, sf: str) -> DataFrame:
     return _scored(spark, sf).select("doc_id", "reason")
@@ -289,24 +300,129 @@ def _audits(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "audits").dropDuplicates(["audit_id"])
 
 
-def _payloads(spark: SparkSession, sf: str) -> DataFrame:
-    return _audits(spark, sf).select("audit_id", "resume_text", report.parsed(F.col("payload")).alias("v")).where("v is not null")
+def _payloads(spark: SparkSession, sf: str, *more: str) -> DataFrame:
+    return _audits(spark, sf).select("audit_id", *more, "resume_text", report.parsed(F.col("payload")).alias("v")).where("v is not null")
 
 
 _BREAKDOWN = "$.explainable_scorecard.ats_score.breakdown"
 
 
+def _matrix(spark: SparkSession, sf: str) -> DataFrame:
+    """(doc_id, matrix): evidence rows made of a resume's stored scores, read from JSON text as a payload is."""
+    s = table(spark, sf, "scores").dropDuplicates(["score_id"]).where("doc_id is not null")
+    status = F.when(F.col("score").isNull(), " Not Found").when(F.col("score") < 40, "LIMITED").when(F.col("score") < 55, "Partial").when(F.col("score") < 70, "Mentioned Once").otherwise("Verified")
+    row = F.struct("score_id", F.coalesce("target_role", F.lit("any")).alias("requirement"), status.alias("status"), F.coalesce("reason", F.lit("")).alias("evidence_note"))
+    own = s.groupBy("doc_id").agg(F.array_sort(F.collect_list(row)).alias("recruiter_evidence_matrix"))
+    return own.select("doc_id", report.matrix_of(F.try_parse_json(F.to_json(F.struct("recruiter_evidence_matrix")))).alias("matrix"))
+
+
 @query
-def score_caps(spark: SparkSession, sf: str) -> DataFrame:
+def red_flags(spark: SparkSession, sf: str) -> DataFrame:
+    rows = _matrix(spark, sf)
+    return rows.select("doc_id", report.red_flag_rows(F.transform("matrix", lambda x: x["status"])).cast("bigint").alias("red_flags"))
+
+
+@query
+def evidence_rows(spark: SparkSession, sf: str) -> DataFrame:
+    """Evidence rows with their mark, and notes that repetitions carry their requirement in."""
+    rows = _matrix(spark, sf).select("doc_id", report.unique_matrix(F.col("matrix")).alias("m"), report.unique_matrix(F.col("matrix"), "", ": ", keep_blank=True).alias("shown"))
+    flat = rows.select("doc_id", "shown", F.posexplode("m").alias("pos", "row"))
+    return flat.select("doc_id", F.col("pos").cast("bigint").alias("pos"), report.status_mark(F.col("row.status")).alias("mark"), F.col("row.evidence_note").alias("note"), F.get("shown", "pos")["evidence_note"].alias("shown_note"))
+
+
+def _capped(payloads: DataFrame, matrix: Column) -> DataFrame:
     part = lambda k: F.coalesce(F.try_variant_get("v", f"{_BREAKDOWN}.{k}", "int"), F.lit(0))
     total = F.greatest(F.lit(0), F.least(F.lit(100), sum((part(k) for k in L.MAXIMA), F.lit(0))))
     get = lambda p, t="string": F.try_variant_get("v", f"$.{p}", t)
-    # rows of the matrix that are no objects, and a matrix that is no list, hold no flag
-    statuses = F.transform(get("recruiter_evidence_matrix", "array<variant>"), lambda row: F.try_variant_get(row, "$.status", "string"))
-    cap, chance = report.caps(get("eligibility_check.status"), report.red_flag_rows(statuses))
+    cap, chance = report.caps(get("eligibility_check.status"), report.red_flag_rows(F.transform(matrix, lambda x: x["status"])))
     score = report.capped_score(get("explainable_scorecard.overall_hiring_score.score"), cap)
     probability = report.capped_probability(get("explainable_scorecard.overall_hiring_score.interview_probability"), chance)
-    return _payloads(spark, sf).select("audit_id", *_longs(ats_score=total, overall_score=score), probability.alias("interview_probability"))
+    return payloads.select("audit_id", *_longs(ats_score=total, overall_score=score), probability.alias("interview_probability"))
+
+
+@query
+def score_caps(spark: SparkSession, sf: str) -> DataFrame:
+    """Aligned and capped scores. Red flags are those of the payload's matrix."""
+    return _capped(_payloads(spark, sf), report.matrix_of(F.col("v")))
+
+
+@query
+def score_caps_stored(spark: SparkSession, sf: str) -> DataFrame:
+    """The same where the resume's stored scores make up an evidence matrix beside the payload's."""
+    rows = _payloads(spark, sf, "doc_id").join(_matrix(spark, sf), "doc_id", "left")
+    return _capped(rows, F.concat(report.matrix_of(F.col("v")), F.coalesce("matrix", F.array().cast(report.MATRIX))))
+
+
+@query
+def aligned_scores(spark: SparkSession, sf: str) -> DataFrame:
+    """The score as the sum of whatever parts a breakdown has."""
+    parts = F.try_variant_get("v", _BREAKDOWN, "map<string,variant>")
+    return _payloads(spark, sf).select("audit_id", report.aligned_score(parts).cast("bigint").alias("score"))
+
+
+@query
+def score_bounds(spark: SparkSession, sf: str) -> DataFrame:
+    """Whether scores and the explanation of a payload keep to their bounds."""
+    categories = report.categories_of(F.col("v"))
+    return _payloads(spark, sf).select("audit_id", report.valid_report(F.col("v")).alias("valid"), F.coalesce(F.size(F.map_keys(categories)), F.lit(0)).cast("bigint").alias("categories"), report.within_bounds(categories).alias("explanation_within_bounds"))
+
+
+@query
+def merged_scores(spark: SparkSession, sf: str) -> DataFrame:
+    """Audits with their resume's deterministic score in place of the payload's."""
+    told = _payloads(spark, sf, "doc_id").select("audit_id", "doc_id", F.try_variant_get("v", "$.explainable_scorecard.ats_score.score", "int").alias("score"))
+    return report.merged_score(told, _scored(spark, sf)).select("audit_id", *_longs(score=F.col("score"), keywords=F.col("keywords")))
+
+
+@query
+def section_flags(spark: SparkSession, sf: str) -> DataFrame:
+    """The twelve flags that a resume's record says, false where it says nothing."""
+    flags = report.section_flags(F.col("section_completeness"))
+    return resumes(spark, sf).select("doc_id", flags.alias("f")).select("doc_id", *[F.col("f")[k].alias(k) for k in L.FLAGS])
+
+
+@query
+def plan_distinct(spark: SparkSession, sf: str) -> DataFrame:
+    """All items of an action plan in order, without repetitions; blanks stay."""
+    parts = [F.coalesce(F.try_variant_get("v", f"$.priority_action_plan.{k}", "array<string>"), F.array().cast("array<string>")) for k in ("immediate_fixes_today", "short_term_this_week", "long_term_this_month", "immediate_fixes_today")]
+    rows = _payloads(spark, sf).select("audit_id", F.posexplode(report.distinct_items(F.concat(*parts))).alias("pos", "item"))
+    return rows.select("audit_id", F.col("pos").cast("bigint").alias("pos"), "item")
+
+
+@query
+def finished_reports(spark: SparkSession, sf: str) -> DataFrame:
+    """Whole reports made of stored payloads, repaired, grounded, capped and filled."""
+    rows = report.finished(_audits(spark, sf).select("audit_id", "payload", F.col("resume_text").alias("text")))
+    return rows.where("report is not null").select("audit_id", "report.*")
+
+
+# ---- lints ----
+
+
+@query
+def lint_keywords(spark: SparkSession, sf: str) -> DataFrame:
+    rows = table(spark, sf, "keywords").where("target_role is not null").withColumn("report", F.lit(1).cast("bigint"))
+    return report.keyword_in_several_classes(rows, "report", "keyword", "target_role")
+
+
+@query
+def lint_ranks(spark: SparkSession, sf: str) -> DataFrame:
+    s = table(spark, sf, "scores").dropDuplicates(["score_id"]).where("doc_id is not null")
+    rows = s.groupBy("doc_id").agg(F.collect_list((F.pmod("score_id", F.lit(3)) + 1).cast("int")).alias("ranks"))
+    return rows.select("doc_id", report.ranks_complete(F.col("ranks"), 3).alias("complete"))
+
+
+@query
+def lint_notes(spark: SparkSession, sf: str) -> DataFrame:
+    s = table(spark, sf, "scores").dropDuplicates(["score_id"]).where("doc_id is not null and reason is not null")
+    return report.repeated_notes(s, "doc_id", "reason")
+
+
+@query
+def lint_reviews(spark: SparkSession, sf: str) -> DataFrame:
+    """Resumes with another number of awards than of certifications, as reviews are held against projects."""
+    rows = resumes(spark, sf)
+    return report.reviews_match(rows.select("doc_id", F.explode("awards")), rows.select("doc_id", F.explode("certifications")), "doc_id")
 
 
 @query
@@ -325,17 +441,23 @@ def plan_dedup(spark: SparkSession, sf: str) -> DataFrame:
 def coercions(spark: SparkSession, sf: str) -> DataFrame:
     s = F.try_variant_get("v", "$.explainable_scorecard.ats_score.score", "string")
     p = F.try_variant_get("v", "$.explainable_scorecard.overall_hiring_score.interview_probability", "string")
-    return _payloads(spark, sf).select("audit_id", report.safe_number(s).alias("number"), report.fraction(report.safe_number(s)).alias("fraction"), report.safe_string(p).alias("text"), report.status_mark(p).alias("mark"), report.level(p).alias("level"))
+    e = F.try_variant_get("v", "$.eligibility_check.status", "string")
+    return _payloads(spark, sf).select("audit_id", report.safe_number(s).alias("number"), report.fraction(report.safe_number(s)).alias("fraction"), report.safe_string(p).alias("text"), report.level(e).alias("level"))
 
 
 @query
 def keyword_grounding(spark: SparkSession, sf: str) -> DataFrame:
-    """Keywords of an audit's role, after those that its text holds moved to the strong ones."""
-    kw = table(spark, sf, "keywords").where("target_role is not null").select("target_role", X.trim(F.lower("keyword")).alias("keyword")).where("keyword <> ''")
-    # keywords of one role are few, so their list is short
-    by_role = kw.groupBy("target_role").agg(F.array_sort(F.collect_set("keyword")).alias("missing"))
-    rows = _audits(spark, sf).join(by_role, "target_role").where("resume_text is not null")
-    missing, strong = report.keyword_grounding(F.col("missing"), F.array().cast("array<string>"), F.col("resume_text"))
+    """Keywords of an audit's role and of no role, after those that its text holds moved to the strong ones.
+
+    All keywords for an audit without a role. Those of ten letters and more are strong from the start.
+    """
+    own = providers.TableKeywords(table(spark, sf, "keywords"))  # checked to be few
+    roles = [r for r in own.by_role if r is not None]
+    lists = F.expr("map(" + ", ".join(f"{X.quoted(r)}, array({', '.join(map(X.quoted, own.keywords(r)))})" for r in roles) + ")")
+    role = F.lower(X.trim(F.col("target_role")))
+    rows = _audits(spark, sf).where("resume_text is not null").select("audit_id", "resume_text", F.when(role.isNull(), X.constants(own.keywords())).otherwise(F.coalesce(F.element_at(lists, role), X.constants(sorted(own.by_role.get(None, set()))))).alias("missing"))
+    given = F.filter("missing", lambda k: F.length(k) >= 10)
+    missing, strong = report.keyword_grounding(F.col("missing"), given, F.col("resume_text"))
     return rows.select("audit_id", F.array_join(missing, "|").alias("missing"), F.array_join(strong, "|").alias("strong"))
 
 

@@ -173,7 +173,19 @@ _TOTAL = " + ".join(f"coalesce({k}, 0)" for k in L.MAXIMA)
 _SECONDARY = ", ".join(f"{has('text', sections.secondary_pattern(n).replace('(?i)^', '(?i)(?:' + chr(92) + 'A|' + chr(92) + 'n)', 1))} as {q(n).replace(chr(39), chr(34))}" for n in ("certifications", "languages", "awards", "publications", "interests", "references"))
 _PRIMARY = ", ".join(f"{has('text', f'(?i)(?:^|{NOT_WORD})(?:' + '|'.join(t) + f')(?:{chr(92)}z|{NOT_WORD})')} as {n}" for n, t in L.PRIMARY.items())
 _CONTACT = rf"[\p{{L}}\p{{N}}_.\-]+@[\p{{L}}\p{{N}}_.\-]+\.[\p{{L}}\p{{N}}_]+|\+?\p{{Nd}}[\p{{Nd}} \-]{{8,}}\p{{Nd}}"
+_KEYWORD_KEY = trim("lower(keyword)")
+_RED = "(select doc_id, count(*) filter (score is null or score < 40) as n from (select distinct * from scores) where doc_id is not null group by 1)"
+_PARTS, _CATEGORIES = "$.explainable_scorecard.ats_score.breakdown", "$.explainable_scorecard.ats_score.explanation.categories"
 _EDGE = r"[^\p{L}\p{N}_.+#]"
+def _caps(more: str = "", joins: str = "") -> str:
+    """Capped scores; ``more`` red flags come from what ``joins`` brings."""
+    return f"""with {_JSON}, x as (select audit_id, coalesce(upper(trim({_get("eligibility_check.status")})) = 'FAILED', false) as failed, {" + ".join(f"coalesce(try_cast({_get(f'explainable_scorecard.ats_score.breakdown.{k}')} as int), 0)" for k in L.MAXIMA)} as total,
+            try_cast({_get("explainable_scorecard.overall_hiring_score.score")} as int) as s, {_get("explainable_scorecard.overall_hiring_score.interview_probability")} as p,
+            len(list_filter(coalesce(json_extract_string(v, '$.recruiter_evidence_matrix[*].status'), []), lambda t: lower(trim(t)) in ('not found', 'limited'))) {more} >= 3 as many from objects{joins}),
+        y as (select *, case when failed then 30 when many then 75 end as cap, case when failed then 5 when many then 50 end as chance, list_transform(regexp_extract_all(coalesce(p, ''), '\\p{{Nd}}+(?:\\.\\p{{Nd}}+)?'), lambda n: n::double) as ns from x)
+        select audit_id, greatest(0, least(100, total))::bigint as ats_score, (case when cap is not null then coalesce(least(s, cap), cap) else s end)::bigint as overall_score, case when chance is not null and (len(ns) = 0 or list_max(ns) > chance) then '<= ' || chance || '%' else p end as interview_probability from y"""
+
+
 _MAGIC = "'\\xD0\\xCF\\x11\\xE0\\xA1\\xB1\\x1A\\xE1'::blob"
 
 _FILES = f"""select upload_id, ext, size_mb, n_bytes, case when ext not in ('pdf', 'docx', 'txt') then 'UNSUPPORTED_FORMAT' when size_mb > 10 then 'FILE_TOO_LARGE' when n = 0 then 'EMPTY_FILE'
@@ -199,7 +211,7 @@ ORACLES: dict[str, str] = {
         nullif(regexp_extract(text, {q(entities.LINKEDIN)}), '') as linkedin, nullif(regexp_extract(text, {q(entities.GITHUB)}), '') as github from clean""",
     "names": f"""with {_CLEAN} select doc_id, list_filter(list_transform(list_filter({lines('text')}[1:3], lambda x: not {has('x', '@|' + DIGIT)} and len({words('x')}) <= 4), lambda x: {trim(f"regexp_replace(x, {q(f'[^a-zA-Z{WS_IN}.]')}, '', 'g')")}), lambda x: x <> '')[1] as name from clean""",
     "skills": f"with {_CLEAN} select doc_id, unnest({_terms(L.SKILLS, 'lower(text)')}) as skill from clean",
-    "links": f"""with x as (select doc_id, u, min(i) as i from (select doc_id, unnest(f) as u, generate_subscripts(f, 1) as i from (select doc_id, regexp_extract_all(coalesce(raw_text, ''), {q(URL)}, 1) as f from parsed_resumes)) group by doc_id, u)
+    "links": f"""with x as (select doc_id, u, min(i) as i from (select doc_id, unnest(f) as u, generate_subscripts(f, 1) as i from (select doc_id, regexp_extract_all(coalesce(raw_text, '') || ' ' || coalesce(array_to_string(list_filter(list_transform(publications, lambda p: p.url), lambda u: u is not null), ' '), ''), {q(URL)}, 1) as f from parsed_resumes)) group by doc_id, u)
         select doc_id, row_number() over (partition by doc_id order by i) - 1 as pos, u as url from x""",
     "sections_append": f"with {_CLEAN}, {_APPENDED} select doc_id, section, section_text from appended",
     "sections_overwrite": f"with {_EXTRACTED}, {_OVERWRITTEN} select doc_id, section, section_text from overwritten",
@@ -226,21 +238,40 @@ ORACLES: dict[str, str] = {
             union all select doc_id, page_no, 5, 'NONSTANDARD_BULLETS', 'low', 'medium' from page_columns where dots >= 2),
         g as (select doc_id, issue_type, severity, confidence, r, min(page_no) as f, string_agg(distinct page_no::varchar, ',' order by page_no::varchar) as affected_pages from i group by 1, 2, 3, 4, 5)
         select doc_id, row_number() over (partition by doc_id order by f, r) - 1 as ordinal, issue_type, severity, confidence, affected_pages from g""",
-    "score_caps": f"""with {_JSON}, x as (select audit_id, coalesce(upper(trim({_get("eligibility_check.status")})) = 'FAILED', false) as failed, {" + ".join(f"coalesce(try_cast({_get(f'explainable_scorecard.ats_score.breakdown.{k}')} as int), 0)" for k in L.MAXIMA)} as total,
-            try_cast({_get("explainable_scorecard.overall_hiring_score.score")} as int) as s, {_get("explainable_scorecard.overall_hiring_score.interview_probability")} as p from objects),
-        y as (select *, list_transform(regexp_extract_all(coalesce(p, ''), '\\p{{Nd}}+(?:\\.\\p{{Nd}}+)?'), lambda n: n::double) as ns from x)
-        select audit_id, greatest(0, least(100, total))::bigint as ats_score, (case when failed then coalesce(least(s, 30), 30) else s end)::bigint as overall_score, case when failed and (len(ns) = 0 or list_max(ns) > 5) then '<= 5%' else p end as interview_probability from y""",
+    "red_flags": f"select doc_id, n as red_flags from {_RED}",
+    "evidence_rows": f"""with e as (select doc_id, row_number() over (partition by doc_id order by score_id) - 1 as pos, coalesce(target_role, 'any') as req, coalesce(reason, '') as n, case when score is null or score < 40 then 'missing' when score < 70 then 'warn' else 'ok' end as mark from (select distinct * from scores) where doc_id is not null),
+        r as (select *, {trim("n")} as t from e), d as (select *, row_number() over (partition by doc_id, t order by pos) > 1 as again from r)
+        select doc_id, pos, mark, case when again then '[' || req || ' Audit]: ' || n else n end as note, case when again and t <> '' then req || ': ' || n else n end as shown_note from d""",
+    "score_caps": _caps(),
+    "score_caps_stored": _caps(" + coalesce(n, 0)", f" join (select audit_id, doc_id from {_AUDITS}) using (audit_id) left join {_RED} using (doc_id)"),
+    "aligned_scores": f"""with {_JSON}, x as (select audit_id, json_type(v, '{_PARTS}') = 'OBJECT' as has, list_transform(json_extract_string(v, '{_PARTS}.*'), lambda p: coalesce(try_cast(p as int), 0)) as ps from objects)
+        select audit_id, case when has then greatest(0, least(100, coalesce(list_sum(ps), 0)))::bigint end as score from x""",
+    "score_bounds": f"""with {_JSON}, x as (select audit_id, {" and ".join(f"coalesce(try_cast({_get(f'explainable_scorecard.{k}')} as int) between 0 and {m}, false)" for k, m in [*((f"ats_score.breakdown.{k}", m) for k, m in L.MAXIMA.items()), *((f"{k}.score", 100) for k in ("ats_score", "technical_depth", "recruiter_signal", "overall_hiring_score"))])} as valid,
+            case when json_type(v, '{_CATEGORIES}') = 'OBJECT' then json_keys(v, '{_CATEGORIES}') else [] end as ks from objects)
+        select audit_id, valid, len(ks)::bigint as categories, len(ks) <= 7 and len(list_filter(ks, lambda k: length(k) > 60)) = 0 as explanation_within_bounds from x""",
+    "merged_scores": f"""{_SCORE_WITH}, {_JSON} select audit_id, coalesce(s.score, try_cast({_get("explainable_scorecard.ats_score.score")} as int))::bigint as score, s.keywords::bigint as keywords
+        from objects join (select audit_id, doc_id from {_AUDITS}) using (audit_id) left join scored s using (doc_id)""",
+    "section_flags": "select doc_id, " + ", ".join(f'coalesce(map_extract_value(section_completeness, \'{k}\'), false) as "{k}"' for k in L.FLAGS) + " from parsed_resumes",
+    "plan_distinct": f"""with {_JSON}, l as (select audit_id, list_concat({", ".join(f"coalesce(json_extract_string(v, '$.priority_action_plan.{k}[*]'), [])" for k in ("immediate_fixes_today", "short_term_this_week", "long_term_this_month", "immediate_fixes_today"))}) as f from objects),
+        x as (select audit_id, unnest(f) as item, generate_subscripts(f, 1) as i from l), y as (select audit_id, item, min(i) as i from x group by 1, 2)
+        select audit_id, row_number() over (partition by audit_id order by i) - 1 as pos, item from y""",
+    "lint_keywords": f"select 1::bigint as report, {_KEYWORD_KEY} as keyword, count(distinct target_role) as classes from keywords where target_role is not null group by 2 having count(distinct target_role) > 1",
+    "lint_ranks": "select doc_id, list_sort(list(score_id % 3 + 1)) = [1, 2, 3] as complete from (select distinct * from scores) where doc_id is not null group by 1",
+    "lint_notes": f"select doc_id, {trim('reason')} as note, count(*) as n from (select distinct * from scores) where doc_id is not null and reason is not null group by 1, 2 having count(*) > 1",
+    "lint_reviews": "select doc_id, a as reviews, c as projects from (select doc_id, coalesce(len(awards), 0)::bigint as a, coalesce(len(certifications), 0)::bigint as c from parsed_resumes) where a <> c",
+    "evidence_json": f"{_SCORE_WITH} select doc_id, score::bigint as score, match_count::bigint as match_count, word_count::bigint as word_count, bullet_ratio, email_present from scored",
     "safe_defaults": f"""with {_JSON} select audit_id, coalesce(nullif({_get("eligibility_check.status")}, ''), 'PASSED') as eligibility_status, case when nullif({_get("eligibility_check.status")}, '') is null then 'Hard Eligibility Check' else {_get("eligibility_check.title")} end as eligibility_title,
         coalesce(try_cast({_get("document_validation.is_resume")} as boolean), true) as is_resume, coalesce(try_cast({_get("document_validation.confidence_score")} as double), 0.95::double) as confidence_score, coalesce(nullif({_get("document_validation.detected_doc_type")}, ''), 'Resume') as detected_doc_type,
         coalesce(json_array_length(v, '$.verified_strengths'), 0)::bigint as verified_strengths, coalesce(json_array_length(v, '$.recruiter_evidence_matrix'), 0)::bigint as recruiter_evidence_matrix from objects""",
     "plan_dedup": f"""with {_JSON}, x as (select audit_id, unnest(f) as item, generate_subscripts(f, 1) as i from (select audit_id, json_extract_string(v, '$.priority_action_plan.immediate_fixes_today[*]') as f from objects)), y as (select audit_id, item, min(i) as i from x where item <> '' group by 1, 2)
         select audit_id, row_number() over (partition by audit_id order by i) - 1 as pos, item from y""",
-    "coercions": f"""with {_JSON}, x as (select audit_id, coalesce(try_cast(rtrim(trim({_get("explainable_scorecard.ats_score.score")}), '%') as double), 0.0::double) as n, {_get("explainable_scorecard.overall_hiring_score.interview_probability")} as p from objects)
-        select audit_id, n as number, greatest(0.0::double, least(1.0::double, n / 100.0::double)) as fraction, coalesce(p, 'N/A') as text, 'missing' as mark, case when lower(trim(p)) in ('high', 'medium', 'low') then lower(trim(p)) else 'medium' end as level from x""",
-    "keyword_grounding": f"""with kw as (select target_role, list_sort(list(distinct k)) as ks from (select target_role, {trim("lower(keyword)")} as k from keywords where target_role is not null) where k <> '' group by 1),
-        x as (select audit_id, unnest(ks) as k, generate_subscripts(ks, 1) as i, lower(resume_text) as t from {_AUDITS} a join kw using (target_role) where resume_text is not null),
-        y as (select audit_id, k, i, regexp_matches(t, {q(f"(?:^|{_EDGE})")} || regexp_replace(k, '([^a-z0-9_ ])', '\\\\\\1', 'g') || {q(f"(?:{chr(92)}z|{_EDGE})")}) as hit from x)
-        select audit_id, coalesce(string_agg(k, '|' order by i) filter (not hit), '') as missing, coalesce(string_agg(k, '|' order by i) filter (hit), '') as strong from y group by audit_id""",
+    "coercions": f"""with {_JSON}, x as (select audit_id, coalesce(try_cast(rtrim(trim({_get("explainable_scorecard.ats_score.score")}), '%') as double), 0.0::double) as n, {_get("explainable_scorecard.overall_hiring_score.interview_probability")} as p, lower(trim({_get("eligibility_check.status")})) as e from objects)
+        select audit_id, n as number, greatest(0.0::double, least(1.0::double, n / 100.0::double)) as fraction, coalesce(p, 'N/A') as text, case when e in ('high', 'medium', 'low') then e else 'medium' end as level from x""",
+    "keyword_grounding": f"""with kw as (select distinct lower({trim("target_role")}) as r, {_KEYWORD_KEY} as k from keywords where {_KEYWORD_KEY} <> ''),
+        a as (select audit_id, lower({trim("target_role")}) as role, lower(resume_text) as t from {_AUDITS} where resume_text is not null),
+        x as (select distinct audit_id, t, k from a join kw on a.role is null or kw.r is null or kw.r = a.role),
+        y as (select audit_id, k, length(k) >= 10 as given, regexp_matches(t, {q(f"(?:^|{_EDGE})")} || regexp_replace(k, '([^a-z0-9_ ])', '\\\\\\1', 'g') || {q(f"(?:{chr(92)}z|{_EDGE})")}) as hit from x)
+        select audit_id, coalesce(string_agg(k, '|' order by k) filter (not hit), '') as missing, coalesce(string_agg(k, '|' order by given desc, k) filter (given or hit), '') as strong from a left join y using (audit_id) group by audit_id""",
     "unique_notes": f"""select doc_id, score_id as pos, case when row_number() over (partition by doc_id, {trim("reason")} order by score_id) > 1 then '[' || coalesce(target_role, 'any') || ' Audit]: ' || reason else reason end as note
         from (select distinct * from scores) where reason is not null and doc_id is not null""",
     "json_clean": f"with {_JSON} select audit_id, payload from cleaned_json",

@@ -57,7 +57,7 @@ def analyze(extracted: DataFrame, role: str | None = None, keywords: providers.K
     rows = rows.withColumn("error_code", F.when((code == "OK") & ~validate.audit_ready(F.col("word_count")), "TOO_SHORT_FOR_AUDIT").otherwise(code))
     if classifier is not None:
         rows = providers.classify(rows, provider=classifier)
-        refused = (F.col("error_code") == "OK") & (F.col("classifier_status") == "OK") & ~F.col("is_resume")
+        refused = (F.col("error_code") == "OK") & F.col("classifier_status").isin("OK", "TRUNCATED") & ~F.col("is_resume")
         rows = rows.withColumn("error_code", F.when(refused, "NOT_A_RESUME").otherwise(F.col("error_code")))
     rows = rows.withColumn("text", F.when(F.col("error_code") == "OK", F.col("text")))
     rows = providers.review(rows, role=role, provider=reviewer)

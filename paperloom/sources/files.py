@@ -21,12 +21,19 @@ from paperloom.operators import validate
 from paperloom.operators.layout import has_contact
 
 #: What every scan gives.
-COLUMNS = ["path", "text", "raw_text", "is_scanned", "word_count", "image_count", "page_count", "extracted_links", "parsing_issues", "status"]
+COLUMNS = ["path", "text", "raw_text", "is_scanned", "word_count", "image_count", "page_count", "extracted_links", "parsing_issues", "metadata", "status"]
+# What stands before appended links, and the form of a link.
 LINKS_HEADER = "\n\n--- EXTRACTED HYPERLINKS ---\n"
 URL = r'(https?://[^\s<>"]+|www\.[^\s<>"]+)'
 _ISSUES = "array<string>"
 
 
+def _metadata(*names: str) -> Column:
+    """What a file says about itself, by name; what it does not say is left out."""
+    found = F.create_map(*[x for n in names for x in (F.lit(n), F.col(n))]) if names else F.create_map()
+    return F.map_filter(found.cast("map<string,string>"), lambda _, v: v.isNotNull()).alias("metadata")
+
+
 def read_files(spark: SparkSession, path: str, pattern: str = "*") -> DataFrame:
     """Files under a path as (path, modificationTime, length, content)."""
     return spark.read.format("binaryFile").option("pathGlobFilter", pattern).option("recursiveFileLookup", "true").load(path)
@@ -61,7 +68,7 @@ def scan_text(files: DataFrame, simple: bool = False) -> DataFrame:
     rows = rows.withColumn("extracted_links", found)
     return rows.select(
         "path", with_links(F.col("raw_text"), F.col("extracted_links")).alias("text"), "raw_text", F.lit(False).alias("is_scanned"), word_count(F.col("raw_text")).alias("word_count"),
-        F.lit(0).alias("image_count"), F.lit(1).alias("page_count"), "extracted_links", F.array().cast(_ISSUES).alias("parsing_issues"), status.alias("status"),
+        F.lit(0).alias("image_count"), F.lit(1).alias("page_count"), "extracted_links", F.array().cast(_ISSUES).alias("parsing_issues"), _metadata(), status.alias("status"),
     )
 
 
@@ -140,7 +147,7 @@ def scan_office(files: DataFrame, with_tables: bool = False) -> DataFrame:
     status = F.when((F.col("status") == "OK") & (trim(F.coalesce("raw_text", F.lit(""))) == ""), "EMPTY_DOCUMENT").otherwise(F.col("status"))
     return rows.select(
         "path", with_links(F.col("raw_text"), F.col("links")).alias("text"), "raw_text", F.lit(False).alias("is_scanned"), word_count(F.col("raw_text")).alias("word_count"),
-        F.col("images").alias("image_count"), F.lit(1).alias("page_count"), F.col("links").alias("extracted_links"), issues.alias("parsing_issues"), status.alias("status"),
+        F.col("images").alias("image_count"), F.lit(1).alias("page_count"), F.col("links").alias("extracted_links"), issues.alias("parsing_issues"), _metadata("author", "title"), status.alias("status"),
     )
 
 
@@ -221,7 +228,7 @@ def scan_pdf(files: DataFrame, extractor: object | None = None, page_gap: str =
     scanned = F.length(trim(F.coalesce("raw_text", F.lit("")))) < least_chars if least_chars else (F.col("word_count") < 30) & ((F.col("images") > 0) | (F.col("word_count") == 0))
     return rows.select(
         "path", with_links(F.col("raw_text"), F.col("links")).alias("text"), "raw_text", (scanned & (F.col("status") == "OK")).alias("is_scanned"), "word_count", F.col("images").alias("image_count"),
-        F.col("pages").alias("page_count"), F.col("links").alias("extracted_links"), F.array().cast(_ISSUES).alias("parsing_issues"), "status",
+        F.col("pages").alias("page_count"), F.col("links").alias("extracted_links"), F.array().cast(_ISSUES).alias("parsing_issues"), _metadata(), "status",
     )
 
 
@@ -230,6 +237,6 @@ def scan(files: DataFrame, extractor: object | None = None) -> DataFrame:
     kind = file_kind(F.col("path"))
     rest = files.where(~kind.isin("txt", "docx", "pdf")).select(
         "path", F.lit(None).cast("string").alias("text"), F.lit(None).cast("string").alias("raw_text"), F.lit(False).alias("is_scanned"), F.lit(0).alias("word_count"), F.lit(0).alias("image_count"),
-        F.lit(0).alias("page_count"), F.array().cast("array<string>").alias("extracted_links"), F.array().cast(_ISSUES).alias("parsing_issues"), F.lit("UNSUPPORTED_FORMAT").alias("status"),
+        F.lit(0).alias("page_count"), F.array().cast("array<string>").alias("extracted_links"), F.array().cast(_ISSUES).alias("parsing_issues"), _metadata(), F.lit("UNSUPPORTED_FORMAT").alias("status"),
     )
     return scan_text(files.where(kind == "txt")).unionByName(scan_office(files.where(kind == "docx"))).unionByName(scan_pdf(files.where(kind == "pdf"), extractor)).unionByName(rest)

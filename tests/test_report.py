@@ -160,3 +160,71 @@ def test_timings():
     with t.stage("score"):
         pass
     assert t.report().count("N/A") == 6
+
+
+def test_unique_matrix(spark):
+    rows = [("a", "x", " same"), ("b", "x", "same "), ("c", "x", ""), ("d", "x", None), ("e", None, "other"), (None, None, "same")]
+    df = spark.createDataFrame([(1, rows), (2, []), (3, None)], f"id int, m {report.MATRIX}")
+    got = {r.id: r.m and [x.evidence_note for x in r.m] for r in df.select("id", report.unique_matrix(F.col("m")).alias("m")).collect()}
+    assert got == {1: [" same", "[b Audit]: same ", "", "[d Audit]: ", "other", "[ Audit]: same"], 2: [], 3: None}
+    shown = df.where("id = 1").select(report.unique_matrix(F.col("m"), "", ": ", keep_blank=True).alias("m")).first().m
+    assert [x.evidence_note for x in shown] == [" same", "b: same ", "", None, "other", ": same"]
+
+
+def test_aligned_score_of_variants(spark):
+    df = spark.createDataFrame([('{"a": 10, "b": "7", "c": "x", "d": null}',), ('{"a": 90, "b": 40}',), ("[1]",), ("{}",)], "j string")
+    got = [r[0] for r in df.select(report.aligned_score(F.try_variant_get(F.try_parse_json("j"), "$", "map<string,variant>"))).collect()]
+    assert got == [17, 100, None, 0]
+
+
+def test_a_review_is_finished_and_gets_the_own_score(spark):
+    import json
+
+    from paperloom.plans import pipeline
+
+    text = "Jane Doe\nSUMMARY\nBuilt things with Python, raised sales by 12% at work.\n" + "word " * 40
+    payload = {
+        "explainable_scorecard": {"ats_score": {"score": 1, "breakdown": {"formatting": 10, "keywords": "5", "structure": "x"}}, "overall_hiring_score": {"score": 90, "interview_probability": "80%"}},
+        "recruiter_evidence_matrix": [{"requirement": r, "status": "Not Found", "evidence_note": "none"} for r in "abc"] + ["odd"],
+        "ats_keyword_analysis": {"missing_keywords": ["Python", "Rust"], "strong_keywords": ["SQL"]},
+        "individual_project_reviews": [{"star_rewrite": {"optimized": "Raised sales by 12% and profit by 40%"}}, {}],
+        "priority_action_plan": {"immediate_fixes_today": ["a", "", "a", "b"]},
+    }
+    rows = spark.createDataFrame([(1, text, False, 60, 1), (2, "short", False, 1, 1), (3, text + " cut", False, 60, 1)], "doc_id int, text string, is_scanned boolean, word_count int, page_count int")
+    whole = json.dumps(payload)
+    asked = lambda t, role: (_ for _ in ()).throw(ValueError) if len(t) < 30 else whole[: whole.index('"b"') + 4] if t.endswith("cut") else f"Here: ```json\n{whole}\n```"
+    got = {r.doc_id: r for r in pipeline.analyze(rows, reviewer=asked).collect()}
+    r = got[1].report
+    assert (r.overall_score, r.interview_probability, r.missing_keywords, r.strong_keywords) == (75, "<= 50%", ["Rust"], ["SQL", "Python"])
+    assert r.rewrites == ["Raised sales by 12% and profit by [Insert %]", None] and r.immediate_fixes_today == ["a", "b"] and r.eligibility_status == "PASSED" and not r.valid
+    assert [x.evidence_note for x in r.evidence_matrix] == ["none", "[b Audit]: none", "[c Audit]: none"] and not any(r.section_completeness.values()) and len(r.section_completeness) == 12
+    assert r.ats_score.score == got[1].score and r.ats_score.breakdown.keywords == got[1].keywords and got[1].review_status == "OK"
+    assert got[2].report is None and got[2].review_status == "NOT_ASKED" and got[2].score is None and got[2].error_code == "INSUFFICIENT_CONTENT"
+    assert got[3].report is not None and got[3].report.overall_score == 90  # cut short and repaired
+
+
+def test_answers_of_a_classifier(spark):
+    from paperloom.operators import providers
+
+    df = spark.createDataFrame([(1, "long enough " * 9), (2, "long enough " * 3000)], "doc_id int, text string")
+    answer = '{"is_resume": true, "confidence_score": 80, "experience_level": "Senior"}'
+    got = providers.classify(df, provider=lambda text, role: answer).orderBy("doc_id").collect()
+    assert [(r.is_resume, r.confidence, r.experience_level, r.classifier_status) for r in got] == [(True, 0.8, "Senior", "OK"), (True, 0.8, "Senior", "TRUNCATED")]
+    # a bare label says nothing of confidence
+    assert providers.classify(df, provider=lambda text, role: "resume").first().confidence is None
+
+
+def test_a_provider_is_asked_again():
+    from paperloom.operators import providers
+
+    calls = []
+
+    def fails_twice(text, role):
+        calls.append(text)
+        if len(calls) < 3:
+            raise TimeoutError
+        return "x"
+
+    assert providers._asked(fails_twice, 3, 0.0)("t", None) == ("x", None)
+    calls.clear()
+    assert providers._asked(fails_twice, 2, 0.0)("t", None) == (None, "TimeoutError")
