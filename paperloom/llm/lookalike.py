@@ -2,7 +2,9 @@
 
 After compatibility normalisation and the deletion of ignorable characters, words that mix
 scripts are searched as lattices of look-alike characters: Viterbi finds the path of the
-highest character n-gram score that stays within one script.
+highest character n-gram score that stays within one script. A word all of whose letters are
+look-alikes has a path of its own script and a Latin one; between Latin words it is read as
+the latter if that is a far commoner word of the corpus.
 """
 
 from __future__ import annotations
@@ -20,7 +22,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from paperloom.llm.encoding import Detector
-from paperloom.llm.vocabulary import document_counts
+from paperloom.llm.vocabulary import SHARE, document_counts
+from paperloom.session import checkpoint
 
 #: Letters of Cyrillic and Greek, and the Latin letters they look like.
 _CYRILLIC = ("АВЕКМНОРСТУХІЈЅҮаеорсухіјѕһԁԛԝѵкмнтвг", "ABEKMHOPCTYXIJSYaeopcyxijshdqwvkmhtbr")
@@ -55,6 +58,8 @@ _KEEP, _GIVE_BACK = str.maketrans(_KEPT), str.maketrans({v: k for k, v in _KEPT.
 _SMALL_CAPITALS = {"ᴀ": "A", "ᴄ": "C", "ᴅ": "D", "ᴇ": "E", "ᴊ": "J", "ᴋ": "K", "ᴍ": "M", "ᴏ": "O", "ᴘ": "P", "ᴛ": "T", "ᴜ": "U", "ᴠ": "V", "ᴡ": "W", "ᴢ": "Z"}
 #: Cost in bits of changing a letter, and of going from one script to another inside a word.
 CHANGE, SWITCH = 1.5, 25.0
+#: A word of look-alikes only has so many letters at least, and its Latin reading is so much commoner.
+TWIN_LETTERS, TWIN_RATIO = 3, 25
 
 
 @lru_cache(maxsize=4096)
@@ -90,8 +95,9 @@ def alternatives(char: str) -> tuple[str, ...]:
 class Model:
     """Character pairs within words of one script, as bits of surprisal."""
 
-    def __init__(self, pairs: dict[str, int] | None = None):
+    def __init__(self, pairs: dict[str, int] | None = None, twins: dict[str, str] | None = None):
         pairs = pairs or {}
+        self.twins = twins or {}
         heads: Counter[str] = Counter()
         for pair, n in pairs.items():
             heads[pair[0]] += n
@@ -118,6 +124,17 @@ class Model:
         return min(best.values())[1]
 
 
+_LATIN_WORD = re.compile(r"[A-Za-z\u00c0-\u024f]+")
+
+
+def _among_latin(text: str, begin: int, end: int) -> bool:
+    """Whether the words beside a place in a line are Latin, and there are any."""
+    before = _TOKEN.findall(text[max(text.rfind("\n", 0, begin) + 1, begin - 80) : begin])[-1:]
+    stop = text.find("\n", end)
+    after = _TOKEN.findall(text[end : min(stop if stop >= 0 else len(text), end + 80)])[:1]
+    return bool(before or after) and all(_LATIN_WORD.fullmatch(w) for w in before + after)
+
+
 def _mixed(token: str) -> bool:
     scripts = {script(c) for c in token}
     return "Latin" in scripts and ("Greek" in scripts or "Cyrillic" in scripts)
@@ -148,14 +165,27 @@ def normalise(text: str | None, model: Model, garbled: list[tuple[int, int]] | N
         text = fixed.translate(_GIVE_BACK) if kept != text else fixed
     if _FOREIGN.search(text):
         text = _TOKEN.sub(lambda m: model.read(m.group()) if _mixed(m.group()) else m.group(), text)
+        if model.twins:
+            text = _TOKEN.sub(lambda m: model.twins[m.group()] if m.group() in model.twins and _among_latin(text, *m.span()) else m.group(), text)
     return text
 
 
+def word_counts(df: DataFrame, *text_cols: str) -> DataFrame:
+    """(word, n) over all texts of the columns, cut off from what it was counted from."""
+    texts = df.select(F.explode(F.array(*(F.col(c).cast("string") for c in text_cols))).alias("text"))
+    return checkpoint(document_counts(texts, "text"))
+
+
 def pair_counts(df: DataFrame, *text_cols: str) -> dict[str, int]:
-    """How often characters follow each other in words of one script, over all texts of the columns.
+    """How often characters follow each other in words of one script, over all texts of the columns."""
+    return _pairs(word_counts(df, *text_cols))
 
-    Words are counted first, by texts; the pairs of the counted words are few, as they are
-    of one script's letters only, and are all that comes to the driver.
+
+def _pairs(counts: DataFrame) -> dict[str, int]:
+    """The same from the counts of words.
+
+    The pairs are few, as they are of one script's letters only, and are all that comes to
+    the driver.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -167,24 +197,38 @@ def pair_counts(df: DataFrame, *text_cols: str) -> dict[str, int]:
                 if len(scripts) == 1 and "" not in scripts:
                     for a, b in zip("^" + word.lower(), word.lower()):
                         total[a + b] += n
-        yield pa.RecordBatch.from_arrays([pa.array(list(total)), pa.array(list(total.values()), pa.int64())], names=["pair", "n"])
+        yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.string()), pa.array(list(total.values()), pa.int64())], names=["pair", "n"])
 
-    texts = df.select(F.explode(F.array(*(F.col(c).cast("string") for c in text_cols))).alias("text"))
-    counts = document_counts(texts, "text").mapInArrow(run, "pair string, n long")
-    return {r["pair"]: r["n"] for r in counts.groupBy("pair").agg(F.sum("n").alias("n")).collect()}
+    pairs = counts.mapInArrow(run, "pair string, n long")
+    return {r["pair"]: r["n"] for r in pairs.groupBy("pair").agg(F.sum("n").alias("n")).collect()}
+
+
+def twin_words(counts: DataFrame, texts: int) -> dict[str, str]:
+    """Words whose letters all have Latin look-alikes, with the Latin word that they look like and that is far commoner.
+
+    The Latin word must stand in one text of ``vocabulary.SHARE``, which bounds the result.
+    """
+    read, meant = "".join(_LIKE), "".join(_LIKE.values())
+    own = counts.where(F.col("word").rlike(f"^[{read}]{{{TWIN_LETTERS},}}$")).select(F.col("word").alias("twin"), F.col("n").alias("seen"), F.translate("word", read, meant).alias("word"))
+    common = counts.where(F.col("n") >= max(3, texts / SHARE))
+    rows = own.join(common, "word").where(F.col("n") >= TWIN_RATIO * F.col("seen"))
+    return {r["twin"]: r["word"] for r in rows.select("twin", "word").collect()}
 
 
 def unify(df: DataFrame, fields: tuple[str, ...], id_col: str = "doc_id", counted: str | None = None) -> DataFrame:
     """(id, field_name, needed, unified_text), one row for each row and field.
 
     ``needed`` tells whether the text had to be changed. Null texts stay null and need
-    nothing. Character pairs are counted over all these fields, or over ``counted``.
+    nothing. Words and their character pairs are counted over all these fields, or over ``counted``.
     """
     schema = T.StructType([T.StructField(id_col, df.schema[id_col].dataType), T.StructField("field_name", T.StringType()), T.StructField("needed", T.BooleanType()), T.StructField("unified_text", T.StringType())])
-    sent = df.sparkSession.sparkContext.broadcast(pair_counts(df, *([counted] if counted else fields)))
+    over = [counted] if counted else list(fields)
+    counts = word_counts(df, *over)
+    texts = df.select(*(F.count(f).alias(f) for f in over)).first()
+    sent = df.sparkSession.sparkContext.broadcast((_pairs(counts), twin_words(counts, sum(texts))))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model, detector = Model(sent.value), Detector()
+        model, detector = Model(*sent.value), Detector()
         for batch in batches:
             for i, field in enumerate(fields):
                 needed, out = [], []

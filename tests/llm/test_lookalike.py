@@ -46,3 +46,13 @@ def test_frame(spark):
     rows = K.unify(df, ("raw_text", "cleaned_text")).collect()
     assert len(rows) == 10 and {r.unified_text for r in rows if r.doc_id == 1} == {"pay"}
     assert K.find_lookalikes(df.where("false")).count() == 0
+
+
+def test_words_of_look_alikes_only(spark):
+    """сору between Latin words is copy where copy is common; in its own script's company it stays."""
+    rows = [(i, "please copy the CEO and ape too") for i in range(90)] + [(100, "please сору the file"), (101, "this сору, и опыт"), (102, "СЕО of it"), (103, "сору"), (104, "Москва is сор")]
+    df = spark.createDataFrame(rows, "doc_id bigint, raw_text string")
+    got = {r.doc_id: r.unified_text for r in K.unify(df, ("raw_text",)).where("doc_id >= 100").collect()}
+    assert got == {100: "please copy the file", 101: "this сору, и опыт", 102: "CEO of it", 103: "сору", 104: "Москва is сор"}
+    counts = K.word_counts(df, "raw_text")
+    assert K.twin_words(counts, 95) == {"СЕО": "CEO", "сору": "copy"} and K.twin_words(counts, 10**6) == {}
