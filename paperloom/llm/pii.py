@@ -292,14 +292,20 @@ _DOT = re.compile(r"\.|\bdot\b", re.I)
 
 #: Written forms that one kind alone has.
 _IDENTITY_FORM = re.compile(r"QQ\s?\d\d\s?\d\d\s?\d\d\s?[A-Z]|X\d{8}|\d{3}\.\d{3}\.\d{3}-\d\d|9\d\d[-\s]\d\d[-\s]\d{4}")
+#: What stands before a number that tells a person's identity, whatever its form.
+_IDENTITY_NAME = re.compile(
+    r"(?:\b(?:ssn|social security|passport|national (?:id|identity|insurance)|identity(?: card| document)?|id card|tax(?:payer)? (?:id|identification)|tin|iban|nin|cpf|pesel|ausweis|reisepass|steuer-?id|dni|nie)\b)"
+    r"\W{0,3}(?:(?:no|number|nr|num|code)\b)?\W{0,4}\Z",
+    re.I,
+)
 _WORDS = re.compile(r"[^\W\d_]+")
 
 
-def settled(kind: str, text: str, plain: frozenset[str] = frozenset()) -> str | None:
-    """The kind of a decoded stretch after a check of its form; None if it has no form of it."""
+def settled(kind: str, text: str, plain: frozenset[str] = frozenset(), before: str = "") -> str | None:
+    """The kind of a decoded stretch after a check of its form and of what stands before it; None if it has no form of it."""
     digits = sum(c.isdigit() for c in text)
     letters = sum(c.isalpha() for c in text)
-    if kind in ("phone", "identity_number") and _IDENTITY_FORM.fullmatch(text):
+    if kind in ("phone", "identity_number") and (_IDENTITY_FORM.fullmatch(text) or 6 <= digits and _IDENTITY_NAME.search(before)):
         return "identity_number"
     if kind == "email":
         fits = bool(_MAIL.search(text)) and bool(_DOT.search(text)) and letters >= 5
@@ -333,7 +339,7 @@ def spans_of(labels: np.ndarray, text: str, plain: frozenset[str] = frozenset())
                 a += 1
             while b > a and (text[b - 1].isspace() or text[b - 1] in ",;|/>:"):
                 b -= 1
-            name = settled(KINDS[kind], text[a:b], plain) if b > a else None
+            name = settled(KINDS[kind], text[a:b], plain, text[max(0, a - 40) : a]) if b > a else None
             if name:
                 out.append((a, b, name))
             at = end

@@ -84,3 +84,8 @@ def test_frame(spark):
     got = sorted(map(tuple, pii.find_personal(df).collect()))
     assert got == [(1, "raw_text", 0, "name"), (1, "reference_items.email", 1, "email"), (1, "reference_items.phone", 1, "email")]
     assert pii.find_personal(df.where("false")).count() == 0
+
+
+def test_what_stands_before_a_number_tells_its_kind(finder):
+    assert kinds(finder, "SSN: 078-05-1120 and Passport C01X00T47") == {(0, "identity_number")} and kinds(finder, "Passport No. 512345678") == {(0, "identity_number")}
+    assert pii.settled("phone", "078-05-1120", before="National ID no: ") == "identity_number" and pii.settled("phone", "078-05-1120", before="Mobile: ") == "phone"
