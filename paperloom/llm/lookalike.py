@@ -211,7 +211,8 @@ def twin_words(counts: DataFrame, texts: int) -> dict[str, str]:
     read, meant = "".join(_LIKE), "".join(_LIKE.values())
     own = counts.where(F.col("word").rlike(f"^[{read}]{{{TWIN_LETTERS},}}$")).select(F.col("word").alias("twin"), F.col("n").alias("seen"), F.translate("word", read, meant).alias("word"))
     common = counts.where(F.col("n") >= max(3, texts / SHARE))
-    rows = own.join(common, "word").where(F.col("n") >= TWIN_RATIO * F.col("seen"))
+    # both sides grow with the corpus before they are joined, so neither is broadcast
+    rows = own.hint("merge").join(common, "word").where(F.col("n") >= TWIN_RATIO * F.col("seen"))
     return {r["twin"]: r["word"] for r in rows.select("twin", "word").collect()}
 
 
