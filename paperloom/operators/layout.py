@@ -9,7 +9,8 @@ from paperloom.functions import lexicon as L
 from paperloom.functions.text import DIGIT, WS_IN, trim
 
 BLOCK = "struct<x0:double,y0:double,x1:double,y1:double,text:string>"
-_STATE = "array<struct<anchor:double,n:int,top:double,bottom:double>>"
+_CLUSTER = "struct<anchor:double,n:int,top:double,bottom:double>"
+_STATE = f"array<{_CLUSTER}>"
 #: Kinds of issues in the order in which a page's checks run: severity, confidence.
 ISSUES = {"TABLE": ("high", "high"), "HEADER_FOOTER_TEXT": ("high", "high"), "TEXT_BOX": ("high", "high"), "MULTI_COLUMN": ("medium", "medium"), "NONSTANDARD_BULLETS": ("low", "medium")}
 
@@ -30,14 +31,16 @@ def columns(blocks: Column) -> Column:
     ordered = F.array_sort(F.transform(blocks, lambda b: F.struct(b["x0"].alias("x0"), b["y0"].alias("y0"), b["y1"].alias("y1"))))
 
     def step(state: Column, b: Column) -> Column:
-        last = F.try_element_at(state, F.lit(-1))
+        last = state["open"]
+        joins = F.coalesce(b["x0"] - last["anchor"] <= L.SAME_COLUMN, F.lit(False))
         joined = F.struct(last["anchor"].alias("anchor"), (last["n"] + 1).alias("n"), F.least(last["top"], b["y0"]).alias("top"), F.greatest(last["bottom"], b["y1"]).alias("bottom"))
         fresh = F.struct(b["x0"].alias("anchor"), F.lit(1).alias("n"), b["y0"].alias("top"), b["y1"].alias("bottom"))
-        joins = F.coalesce(b["x0"] - last["anchor"] <= L.SAME_COLUMN, F.lit(False))
-        kept = F.when(joins, F.slice(state, 1, F.size(state) - 1)).otherwise(state)
-        return F.concat(kept, F.array(F.when(joins, joined).otherwise(fresh)))
+        # the clusters that are done are copied only when one more is
+        done = F.when(joins | last.isNull(), state["done"]).otherwise(F.concat(state["done"], F.array(last)))
+        return F.struct(F.when(joins, joined).otherwise(fresh).cast(_CLUSTER).alias("open"), done.cast(_STATE).alias("done"))
 
-    return F.aggregate(ordered, F.array().cast(_STATE), step)
+    begin = F.struct(F.lit(None).cast(_CLUSTER).alias("open"), F.array().cast(_STATE).alias("done"))
+    return F.aggregate(ordered, begin, step, lambda state: F.when(state["open"].isNull(), state["done"]).otherwise(F.concat(state["done"], F.array(state["open"]))))
 
 
 def real_columns(blocks: Column, page_height: Column) -> Column:
