@@ -1,7 +1,8 @@
 """Problem 7: personal data inside free text.
 
 A character-level bidirectional LSTM gives every character scores of the labels, and a CRF
-with learnt transitions decodes them. Both run in numpy over many windows at a time.
+with learnt transitions decodes them. Both run in numpy over many windows at a time, and
+over every line of every text: nothing chooses beforehand what the network sees.
 Windows overlap: each character takes its scores from the window in which it lies farthest
 from an edge, and one Viterbi pass then decodes the whole stretch, so that windows are
 reconciled globally. A format check follows. The model is trained by ``pii_train``.
@@ -27,8 +28,10 @@ KINDS = ("email", "phone", "identity_number", "address", "name")
 LABELS = 1 + 2 * len(KINDS)
 MODEL = Path(__file__).with_name("pii_model.npz")
 WINDOW, OVERLAP = 128, 32
-#: Windows run together.
-BATCH = 384
+#: Windows run together, and characters, padding included, decoded together besides those of one stretch.
+BATCH, ROOM = 384, 400_000
+#: Characters of stretches labelled together, besides those of one stretch.
+GROUP = 2_000_000
 #: Different stretches whose spans a worker keeps.
 STORE = 200_000
 
@@ -75,115 +78,119 @@ class Tagger:
     """The network, for inference."""
 
     def __init__(self, weights: dict[str, np.ndarray]):
-        w = {k: np.asarray(v, dtype=np.float32) for k, v in weights.items() if k != "plain"}
-        self.size = w["fw_h"].shape[0]
+        w = {k: np.asarray(v, dtype=np.float32) for k, v in weights.items()}
+        self.size = n = w["fw_h"].shape[0]
+        # sigmoid(x) is (1 + tanh(x / 2)) / 2, so that one tanh serves all gates; hidden states are held doubled
+        half = np.array([0.5] * 3 * n + [1.0] * n, dtype=np.float32)
         # what a character adds to the gates depends on the character alone
-        self.fw_in = w["emb"] @ w["fw_x"] + w["fw_b"]
-        self.bw_in = w["emb"] @ w["bw_x"] + w["bw_b"]
-        self.fw_h, self.bw_h = w["fw_h"], w["bw_h"]
-        self.out, self.out_b = w["out"], w["out_b"]
-        self.trans, self.start = w["trans"], w["start"]
+        self.fw_in = (w["emb"] @ w["fw_x"] + w["fw_b"]) * half
+        self.bw_in = (w["emb"] @ w["bw_x"] + w["bw_b"]) * half
+        self.fw_h, self.bw_h = w["fw_h"] * half / 2, w["bw_h"] * half / 2
+        self.out, self.out_b = w["out"] / 2, w["out_b"]
+        self.start = w["start"]
         self.free = np.array([0, *range(1, LABELS, 2)])
-        self.rest_labels = np.arange(2, LABELS, 2, dtype=np.uint8)
-        self.into = np.ascontiguousarray(self.trans[:, self.free].T)
-        self.begun = self.trans[np.arange(1, LABELS, 2), np.arange(2, LABELS, 2)]
-        self.kept = self.trans[np.arange(2, LABELS, 2), np.arange(2, LABELS, 2)]
+        # the rest of an item follows its beginning or itself; outside and beginnings may follow anything
+        self.trans = w["trans"].copy()
+        for rest in range(2, LABELS, 2):
+            self.trans[[k for k in range(LABELS) if k not in (rest - 1, rest)], rest] = -np.inf
+        self.after = np.ascontiguousarray(self.trans.T)
+        self.into = np.ascontiguousarray(self.trans[:, self.free])[:, :, None]
+        self.begun = self.trans[np.arange(1, LABELS, 2), np.arange(2, LABELS, 2)][:, None]
+        self.kept = self.trans[np.arange(2, LABELS, 2), np.arange(2, LABELS, 2)][:, None]
 
     def _run(self, table: np.ndarray, recurrent: np.ndarray, ids: np.ndarray, lengths: np.ndarray, out: np.ndarray) -> None:
-        """One direction over ids[T, B], longest sequences first; hidden states go to out[T, B, size]."""
+        """One direction over ids[T, B], longest sequences first; hidden states, doubled, go to out[T, B, size]."""
         n = self.size
         steps, width = ids.shape
-        h = np.zeros((width, n), dtype=np.float32)
         c = np.zeros((width, n), dtype=np.float32)
-        alive = np.searchsorted(-lengths, -np.arange(steps), side="left")  # sequences longer than t
+        gates, added = np.empty((width, 4 * n), dtype=np.float32), np.empty((width, 4 * n), dtype=np.float32)
+        alive = np.searchsorted(-lengths, -np.arange(steps), side="left").tolist()  # sequences longer than t
         for t in range(steps):
             k = alive[t]
-            g = table[ids[t, :k]]
-            g += h[:k] @ recurrent
+            g, now = gates[:k], c[:k]
+            np.take(table, ids[t, :k], axis=0, out=g, mode="clip")
+            if t:
+                g += np.matmul(out[t - 1, :k], recurrent, out=added[:k])
+            np.tanh(g, out=g)
             # gates: input, forget, output, candidate
-            s = g[:, : 3 * n]
-            np.negative(s, out=s)
-            np.exp(s, out=s)
-            s += 1.0
-            np.reciprocal(s, out=s)
-            np.tanh(g[:, 3 * n :], out=g[:, 3 * n :])
-            now = c[:k]
-            now *= s[:, n : 2 * n]
-            now += s[:, :n] * g[:, 3 * n :]
-            h[:k] = s[:, 2 * n : 3 * n] * np.tanh(now)
-            out[t, :k] = h[:k]
-
-    def scores(self, windows: list[np.ndarray]) -> list[np.ndarray]:
-        """Scores of the labels [length, LABELS] of each window."""
-        found: list[np.ndarray] = [None] * len(windows)  # type: ignore[list-item]
+            g[:, : 3 * n] += 1.0
+            now *= g[:, n : 2 * n]
+            g[:, :n] *= g[:, 3 * n :]
+            now += g[:, :n]
+            now *= 0.5
+            np.tanh(now, out=out[t, :k])
+            out[t, :k] *= g[:, 2 * n : 3 * n]
+
+    def scores(self, windows: list[np.ndarray]) -> Iterator[tuple[int, np.ndarray]]:
+        """Each window's number with its scores of the labels [length, LABELS]."""
         order = sorted(range(len(windows)), key=lambda k: -len(windows[k]))
         for at in range(0, len(order), BATCH):
             rows = order[at : at + BATCH]
             lengths = np.array([len(windows[k]) for k in rows])
             steps, width = int(lengths[0]), len(rows)
-            ids = np.zeros((steps, width), dtype=np.int64)
-            back = np.zeros((steps, width), dtype=np.int64)
+            if not steps:
+                yield from ((k, np.zeros((0, LABELS), dtype=np.float32)) for k in rows)
+                continue
+            ids = np.zeros((2, width, steps), dtype=np.intp)
             for j, k in enumerate(rows):
-                ids[: lengths[j], j] = windows[k]
-                back[: lengths[j], j] = windows[k][::-1]
+                ids[0, j, : lengths[j]] = windows[k]
+                ids[1, j, : lengths[j]] = windows[k][::-1]
+            ids = np.ascontiguousarray(ids.transpose(0, 2, 1))
             states = np.zeros((2, steps, width, self.size), dtype=np.float32)
-            self._run(self.fw_in, self.fw_h, ids, lengths, states[0])
-            self._run(self.bw_in, self.bw_h, back, lengths, states[1])
+            self._run(self.fw_in, self.fw_h, ids[0], lengths, states[0])
+            self._run(self.bw_in, self.bw_h, ids[1], lengths, states[1])
             ahead = states[0] @ self.out[: self.size] + self.out_b
             behind = states[1] @ self.out[self.size :]
             for j, k in enumerate(rows):
                 n = lengths[j]
-                found[k] = ahead[:n, j] + behind[n - 1 :: -1, j][:n] if n else ahead[:0, j]
-        return found
+                yield k, ahead[:n, j] + behind[:n, j][::-1]
 
     def decode(self, scores: list[np.ndarray]) -> list[np.ndarray]:
         """The best label sequence of each stretch: Viterbi over many stretches at a time."""
-        found: list[np.ndarray] = [None] * len(scores)  # type: ignore[list-item]
-        order = sorted(range(len(scores)), key=lambda k: -len(scores[k]))
-        for at in range(0, len(order), BATCH):
-            rows = order[at : at + BATCH]
+        found: list[np.ndarray] = [np.zeros(0, dtype=np.int64)] * len(scores)
+        order = sorted((k for k in range(len(scores)) if len(scores[k])), key=lambda k: -len(scores[k]))
+        at = 0
+        while at < len(order):
+            rows = order[at : at + max(1, min(BATCH, ROOM // len(scores[order[at]])))]
+            at += len(rows)
             lengths = np.array([len(scores[k]) for k in rows])
             steps, width = int(lengths[0]), len(rows)
-            if not steps:
-                for k in rows:
-                    found[k] = np.zeros(0, dtype=np.int64)
-                continue
-            unary = np.zeros((steps, width, LABELS), dtype=np.float32)
+            # scores, to which those of the best ways up to each character are added
+            best = np.zeros((steps, LABELS, width), dtype=np.float32)
             for j, k in enumerate(rows):
-                unary[: lengths[j], j] = scores[k]
-            alive = np.searchsorted(-lengths, -np.arange(steps), side="left")
-            back = np.zeros((steps, width, LABELS), dtype=np.uint8)
-            best = self.start + unary[0]
+                best[: lengths[j], :, j] = scores[k]
+            alive = np.searchsorted(-lengths, -np.arange(steps), side="left").tolist()
+            best[0] += self.start[:, None]
             for t in range(1, steps):
                 k = alive[t]
-                now = best[:k]
-                step = np.empty((k, LABELS), dtype=np.float32)
-                # outside and beginnings may follow anything
-                total = now[:, None, :] + self.into
-                pick = total.argmax(axis=2)
-                back[t, :k, self.free] = pick.T
-                step[:, self.free] = np.take_along_axis(total, pick[:, :, None], axis=2)[:, :, 0]
-                # the rest of an item follows its beginning or itself
-                first, rest = now[:, 1::2] + self.begun, now[:, 2::2] + self.kept
-                again = rest > first
-                back[t, :k, 2::2] = self.rest_labels - ~again
-                step[:, 2::2] = np.where(again, rest, first)
-                step += unary[t, :k]
-                best[:k] = step
-            last = best.argmax(axis=1)
-            labels = np.zeros((steps, width), dtype=np.int64)
+                now, then = best[t - 1, :, :k], best[t, :, :k]
+                ways = np.maximum.reduce(now[:, None, :] + self.into, axis=0)
+                then[0] += ways[0]
+                then[1::2] += ways[1:]
+                then[2::2] += np.maximum(now[1::2] + self.begun, now[2::2] + self.kept)
+            labels = np.zeros((steps, width), dtype=np.uint8)
             for t in range(steps - 1, -1, -1):
-                k = alive[t]
-                fresh = lengths[:k] == t + 1
-                labels[t, :k] = np.where(fresh, last[:k], labels[t, :k])
-                if t:
-                    labels[t - 1, :k] = back[t, np.arange(k), labels[t, :k]]
+                k, old = alive[t], alive[t + 1] if t + 1 < steps else 0
+                if old:
+                    labels[t, :old] = (best[t, :, :old].T + self.after[labels[t + 1, :old]]).argmax(axis=1)
+                if k > old:
+                    labels[t, old:k] = best[t, :, old:k].argmax(axis=0)
             for j, k in enumerate(rows):
-                found[k] = labels[: lengths[j], j]
+                found[k] = labels[: lengths[j], j].astype(np.int64)
         return found
 
-    def label(self, texts: list[str]) -> list[np.ndarray]:
-        """Labels of the characters of whole stretches of any length."""
+    def label(self, texts: list[str]) -> Iterator[np.ndarray]:
+        """Labels of the characters of whole stretches of any length, some of them at a time."""
+        at = 0
+        while at < len(texts):
+            size, end = 0, at
+            while end < len(texts) and (end == at or size + len(texts[end]) <= GROUP):
+                size += len(texts[end])
+                end += 1
+            yield from self._label(texts[at:end])
+            at = end
+
+    def _label(self, texts: list[str]) -> list[np.ndarray]:
         pieces, owners = [], []
         ids = [char_ids(t) for t in texts]
         for k, own in enumerate(ids):
@@ -194,96 +201,33 @@ class Tagger:
                 if at + WINDOW >= len(own):
                     break
                 at += WINDOW - OVERLAP
-        scored = self.scores(pieces)
         merged = [np.zeros((len(own), LABELS), dtype=np.float32) for own in ids]
-        for (k, at), part in zip(owners, scored):
-            # the former window keeps the first half of what both cover
+        for piece, part in self.scores(pieces):
+            # of what two windows cover the former keeps the first half
+            k, at = owners[piece]
             begin = 0 if at == 0 else OVERLAP // 2
-            merged[k][at + begin : at + len(part)] = part[begin:]
+            end = len(part) if at + WINDOW >= len(ids[k]) else WINDOW - OVERLAP // 2
+            merged[k][at + begin : at + end] = part[begin:end]
         return self.decode(merged)
 
 
-#: Signs of mail, numbers of some length, and numbers in streets.
-_MAIL_SIGN = re.compile(r"@|[(\[{]\s*at\s*[)\]}]|\bAT\b")
-_NUMBERS = re.compile(r"\d[\d\s().+/\-]{6,}\d")
-_STREETS = re.compile(r"\d+[A-Za-z]?,? (?:rue|via|calle|ul\.|rua)\b|\b(?:Box|Flat|Apt)\b")
-_DATE = re.compile(r"(?:19|20)\d\d\s*-\s*(?:19|20)\d\d|(?:19|20)\d\d-\d\d")
-#: Capitalised words, and what may stand between two parts of a name or street.
-_CAPITAL = re.compile(r"[^\W\d_a-zß-öø-ÿ][^\W_]*")
-_BETWEEN = re.compile(r"[.,]{0,2}[^\S\n]{0,4}\n?[^\S\n]{0,4}|[-\u2010-\u2015]|\.?[^\S\n]{1,3}[^\W\d_]\.[^\S\n]{1,3}")
-_NUMBER = re.compile(r"[^\S\n]{1,3}\d")
-_NUMBERED = re.compile(r"\d[A-Z]?\s{1,3}\Z")
-_INITIAL = re.compile(r"\s+[^\W\d_]\.")
-#: What marks the next capitalised word as a part of a name, besides an initial.
-_MARKS = frozenset(("Dr", "Prof", "Sir", "Dame", "Doctor", "Professor"))
+#: Where no item goes on: at blank lines, and before lines that begin with a bullet.
+_CUT = re.compile(r"\n(?:[^\S\n]*(?:\n|\Z))+|\n(?=[^\S\n]*[-*\u2022\u2023\u25aa\u25cf\u25e6\u2043\u00b7\u2013\u2014\ufffd][^\S\n])")
 
 
-def stretches(text: str, plain: set[str] | frozenset[str] = frozenset()) -> list[tuple[int, int, int]]:
-    """(from, to, line number) of the runs of lines that may hold personal data.
+def stretches(text: str) -> list[tuple[int, int, int]]:
+    """(from, to, line number) of the runs of lines that are read on their own.
 
-    Those are lines with signs of mail, with longer numbers, or with capitalised words that
-    are no ``plain`` ones side by side, after a title or initial, or beside a number.
+    Every line that is not blank is in one of them.
     """
-    if not text:
-        return []
-    starts = [0]
-    at = text.find("\n")
-    while at >= 0:
-        starts.append(at + 1)
-        at = text.find("\n", at + 1)
-    size = len(text)
-    hits: list[tuple[int, int]] = []
-    # each form is searched only where a part of it stands
-    if " AT" in text or "at)" in text or "at]" in text or "at}" in text or "at " in text and ("( at" in text or "[ at" in text):
-        hits += [m.span() for m in _MAIL_SIGN.finditer(text)]
-    else:
-        at = text.find("@")
-        while at >= 0:
-            hits.append((at, at + 1))
-            at = text.find("@", at + 1)
-    hits += [m.span() for m in _NUMBERS.finditer(text) if m.group()[0] not in "12" or not _DATE.fullmatch(m.group())]
-    if " rue " in text or "Box" in text or "Flat" in text or "Apt" in text or " via " in text or " calle " in text or " rua " in text or " ul." in text:
-        hits += [m.span() for m in _STREETS.finditer(text)]
-    last_end, last_plain = -10, True
-    for m in _CAPITAL.finditer(text):
-        begin, end = m.span()
-        word = m.group()
-        if word in plain:
-            last_plain, last_end = True, end
-            continue
-        common = word.isupper() and word.capitalize() in plain
-        if len(word) == 1 or word in _MARKS:
-            if not last_plain and begin - last_end <= 9 and _BETWEEN.fullmatch(text, last_end, begin):
-                hits.append((last_end - 1, end))
-            last_plain = False
-        elif common:
-            last_plain = True
-        elif len(word) >= 7 and word[2:5].isdigit():
-            hits.append((begin, end))
-        else:
-            if not last_plain and begin - last_end <= 9 and _BETWEEN.fullmatch(text, last_end, begin):
-                hits.append((last_end - 1, end))
-            elif _NUMBERED.search(text, max(0, begin - 6), begin) or _NUMBER.match(text, end):
-                hits.append((begin, end))
-            elif end + 2 < size and text[end] == "," and text[end + 2 : end + 4].isupper() is False and _INITIAL.match(text, end + 1):
-                hits.append((begin, end + 3))
-            last_plain = False
-        last_end = end
-    if not hits:
-        return []
-    hits.sort()
-    out: list[list[int]] = []
-    line, count = 0, len(starts)
-    for begin, end in hits:
-        if out and end <= (starts[out[-1][1] + 1] if out[-1][1] + 1 < count else size + 1) and begin >= starts[out[-1][0]]:
-            continue
-        line = bisect_right(starts, max(begin, 0)) - 1
-        last = max(line, bisect_right(starts, max(end - 1, 0)) - 1)
-        if out and line <= out[-1][1] + 1:
-            out[-1][1] = max(out[-1][1], last)
-        else:
-            out.append([line, last])
-    return [(starts[a], starts[b + 1] - 1 if b + 1 < count else size, a) for a, b in out]
+    out = []
+    at = line = 0
+    for begin, end in [m.span() for m in _CUT.finditer(text)] + [(len(text), len(text))]:
+        if text[at:begin].strip():
+            out.append((at, begin, line))
+        line += text.count("\n", at, end)
+        at = end
+    return out
 
 
 _MAIL = re.compile(r"@|\bat\b", re.I)
@@ -301,7 +245,7 @@ _IDENTITY_NAME = re.compile(
 _WORDS = re.compile(r"[^\W\d_]+")
 
 
-def settled(kind: str, text: str, plain: frozenset[str] = frozenset(), before: str = "") -> str | None:
+def settled(kind: str, text: str, before: str = "") -> str | None:
     """The kind of a decoded stretch after a check of its form and of what stands before it; None if it has no form of it."""
     digits = sum(c.isdigit() for c in text)
     letters = sum(c.isalpha() for c in text)
@@ -318,11 +262,11 @@ def settled(kind: str, text: str, plain: frozenset[str] = frozenset(), before: s
     else:
         # styled and look-alike letters count as the plain ones they stand for
         words = _WORDS.findall("".join(chr(i + 26) if i > 5 else "x" if i in (1, 2) else " " for i in char_ids(text).tolist() if i != 5))
-        fits = letters >= 4 and digits <= 2 and len(words) >= 2 and any(c.isupper() for c in text) and any(len(w) > 1 and w not in plain and w.capitalize() not in plain for w in words)
+        fits = letters >= 4 and digits <= 2 and len(words) >= 2 and any(c.isupper() for c in text) and any(len(w) > 1 for w in words)
     return kind if fits else None
 
 
-def spans_of(labels: np.ndarray, text: str, plain: frozenset[str] = frozenset()) -> list[tuple[int, int, str]]:
+def spans_of(labels: np.ndarray, text: str) -> list[tuple[int, int, str]]:
     """(from, to, kind) of the labelled stretches that have the form of their kind."""
     out = []
     at = 0
@@ -339,7 +283,7 @@ def spans_of(labels: np.ndarray, text: str, plain: frozenset[str] = frozenset())
                 a += 1
             while b > a and (text[b - 1].isspace() or text[b - 1] in ",;|/>:"):
                 b -= 1
-            name = settled(KINDS[kind], text[a:b], plain, text[max(0, a - 40) : a]) if b > a else None
+            name = settled(KINDS[kind], text[a:b], text[max(0, a - 40) : a]) if b > a else None
             if name:
                 out.append((a, b, name))
             at = end
@@ -353,12 +297,11 @@ class Finder:
 
     def __init__(self, weights: dict[str, np.ndarray]):
         self.tagger = Tagger(weights)
-        self.plain = frozenset(weights["plain"].tolist())
         self.store: dict[str, list[tuple[int, int, str]]] = {}
 
     def find(self, texts: list[str | None], single: bool = False) -> list[list[tuple[int, int, str, int]]]:
         """(from, to, kind, line) of the items of each text. ``single``: texts are fields, looked at whole."""
-        parts = [[] if not t or not t.strip() else [(0, len(t), 0)] if single else stretches(t, self.plain) for t in texts]
+        parts = [[] if not t or not t.strip() else [(0, len(t), 0)] if single else stretches(t) for t in texts]
         fresh = {text[a:b] for text, own in zip(texts, parts) for a, b, _ in own if text[a:b] not in self.store}
         if fresh:
             if len(self.store) + len(fresh) > STORE:
@@ -366,7 +309,7 @@ class Finder:
                 fresh = {text[a:b] for text, own in zip(texts, parts) for a, b, _ in own}
             order = sorted(fresh)
             for piece, labels in zip(order, self.tagger.label(order)):
-                self.store[piece] = spans_of(labels, piece, self.plain)
+                self.store[piece] = spans_of(labels, piece)
         out = []
         for text, own in zip(texts, parts):
             found = []

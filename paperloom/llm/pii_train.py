@@ -4,7 +4,8 @@ Spans are labelled on a bounded sample of rows: names by the structured fields o
 rows and the given names those fields hold, the other kinds by their written forms. The
 network learns them from the characters and their surroundings, with noise of the kinds
 that texts carry. Run ``python -m paperloom.llm.pii_train RESUMES.parquet`` to fit the
-weights anew; the sample's size is ``SAMPLE``.
+weights anew; the sample's size is ``SAMPLE``. With ``--on`` after the file, the weights
+at hand are trained on for ``MORE`` epochs at half the rate.
 """
 
 from __future__ import annotations
@@ -16,12 +17,14 @@ from collections import Counter
 import numpy as np
 
 from paperloom.llm.names import NICK
-from paperloom.llm.pii import KINDS, LABELS, MODEL, WINDOW, char_ids, stretches
+from paperloom.llm.pii import KINDS, LABELS, MODEL, WINDOW, Tagger, char_ids, load, stretches
 
 #: Rows that are labelled at most.
 SAMPLE = 4000
 SIZE, EMBED, VOCABULARY = 32, 16, 101
 EPOCHS, BATCH, RATE = 16, 128, 0.006
+#: Epochs in which each window without an item is seen once.
+TURNS, MORE = 5, 3
 
 #: Blanks between the parts of a name, over one line end at most.
 _GAP = r"(?:[^\S\n]+|[^\S\n]*\n[^\S\n]*)"
@@ -137,19 +140,6 @@ def given_names(rows: list[list[str]]) -> set[str]:
     return found | {nick.capitalize() for nicks in NICK.values() for nick in nicks.split() if len(nick) > 1}
 
 
-def plain_words(texts: list[str], spans: list[list[tuple[int, int, str]]]) -> list[str]:
-    """Capitalised words that are common and never part of an item."""
-    seen: Counter[str] = Counter()
-    inside: set[str] = set()
-    word = re.compile(r"[^\W\d_]+")
-    for text, own in zip(texts, spans):
-        seen.update(w for w in word.findall(text) if w[0].isupper())
-        for a, b, kind in own:
-            if kind in ("name", "address"):
-                inside.update(word.findall(text[a:b]))
-    return sorted(w for w, n in seen.items() if n >= 12 and w not in inside)
-
-
 _NOISE = {"a": "@", "t": "+", "i": "!", "o": "0", "l": "1", "s": "$", "g": "9", "e": "c"}
 
 
@@ -192,8 +182,8 @@ def plain_surroundings(texts: list[str], spans: list[list[tuple[int, int, str]]]
     return out
 
 
-def examples(texts: list[str], spans: list[list[tuple[int, int, str]]], plain: set[str]) -> list[tuple[str, np.ndarray]]:
-    """Windows of the gated stretches with the labels of their characters."""
+def examples(texts: list[str], spans: list[list[tuple[int, int, str]]]) -> list[tuple[str, np.ndarray]]:
+    """Windows of all stretches with the labels of their characters."""
     out = []
     for text, own in zip(texts, spans):
         labels = np.zeros(len(text), dtype=np.int64)
@@ -201,7 +191,7 @@ def examples(texts: list[str], spans: list[list[tuple[int, int, str]]], plain: s
             k = KINDS.index(kind)
             labels[a] = 1 + 2 * k
             labels[a + 1 : b] = 2 + 2 * k
-        for a, b, _ in stretches(text, plain):
+        for a, b, _ in stretches(text):
             at = a
             while at < b:
                 end = min(at + WINDOW, b)
@@ -354,31 +344,41 @@ class Network:
         return float((total - score).sum()) / count
 
 
-def fit(rows: list[tuple[str, list[str]]], epochs: int = EPOCHS, seed: int = 5, log: bool = False) -> dict[str, np.ndarray]:
-    """Weights from (text, names of the row's own fields), of ``SAMPLE`` rows at most."""
+def fit(rows: list[tuple[str, list[str]]], epochs: int = EPOCHS, seed: int = 5, log: bool = False, rate: float = RATE, start: dict[str, np.ndarray] | None = None) -> dict[str, np.ndarray]:
+    """Weights from (text, names of the row's own fields), of ``SAMPLE`` rows at most; ``start`` has weights to go on from.
+
+    An epoch has the windows with items, those without one whose turn it is, and those in
+    which the network finds some all the same.
+    """
     rows = rows[:SAMPLE]
     own = [names for _, names in rows]
     labeller = Labeller(given_names(own), surnames_of(own))
     texts = [t for t, _ in rows]
     spans = [labeller.spans(t, own) for t, own in rows]
-    plain = plain_words(texts, spans)
     rng = np.random.default_rng(seed)
-    data = examples(texts, spans, set(plain)) + plain_surroundings(texts, spans, rng)
+    windows = examples(texts, spans)
+    held = [x for x in windows if x[1].any()] + plain_surroundings(texts, spans, rng)
+    bare = [x for x in windows if not x[1].any()]
     net = Network(seed)
-    data.sort(key=lambda x: len(x[0]))
-    batches = [data[i : i + BATCH] for i in range(0, len(data), BATCH)]
+    if start:
+        net.w |= {k: start[k].astype(np.float32) for k in net.w}
     for epoch in range(epochs):
-        rate = RATE * (1 - epoch / epochs) + 0.0004
+        now = rate * (1 - epoch / epochs) + 0.0004
+        wrong = {k for k, y in enumerate(Tagger(net.w).label([t for t, _ in bare])) if y.any()} if epoch or start else set()
+        data = held + [bare[k] for k in range(len(bare)) if k % TURNS == epoch % TURNS or k in wrong]
+        data = [data[k] for k in rng.permutation(len(data))]
+        data.sort(key=lambda x: len(x[0]))
+        batches = [data[i : i + BATCH] for i in range(0, len(data), BATCH)]
         losses = []
         for b in rng.permutation(len(batches)):
             batch = [(char_ids(noisy(t, rng) if rng.random() < 0.12 else t).astype(np.int64), y) for t, y in batches[b]]
-            losses.append(net.train(batch, rate))
+            losses.append(net.train(batch, now))
         if log:
-            print(f"epoch {epoch}: {np.mean(losses):.5f} over {len(data)} windows", flush=True)
-    return {k: v.astype(np.float16) for k, v in net.w.items()} | {"plain": np.array(plain)}
+            print(f"epoch {epoch}: {np.mean(losses):.5f} over {len(data)} of {len(held) + len(bare)} windows, {len(wrong)} wrong", flush=True)
+    return {k: v.astype(np.float16) for k, v in net.w.items()}
 
 
-def main(path: str) -> None:
+def main(path: str, on: bool = False) -> None:
     import pyarrow.parquet as pq
 
     table = pq.read_table(path, columns=["doc_id", "raw_text", "reference_items", "publications", "awards"]).sort_by("doc_id").to_pylist()
@@ -391,9 +391,9 @@ def main(path: str) -> None:
                     rows.append((q[field], [q["name"]] if q["name"] else []))
     texts = [r for r in rows if "\n" in r[0]][: SAMPLE * 3 // 4]
     fields = [r for r in rows if "\n" not in r[0]][: SAMPLE // 4]
-    weights = fit(texts + fields, log=True)
+    weights = fit(texts + fields, MORE, log=True, rate=RATE / 2, start=load()) if on else fit(texts + fields, log=True)
     np.savez_compressed(MODEL, **weights)
 
 
 if __name__ == "__main__":
-    main(sys.argv[1])
+    main(sys.argv[1], "--on" in sys.argv)

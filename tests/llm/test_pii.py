@@ -89,3 +89,19 @@ def test_frame(spark):
 def test_what_stands_before_a_number_tells_its_kind(finder):
     assert kinds(finder, "SSN: 078-05-1120 and Passport C01X00T47") == {(0, "identity_number")} and kinds(finder, "Passport No. 512345678") == {(0, "identity_number")}
     assert pii.settled("phone", "078-05-1120", before="National ID no: ") == "identity_number" and pii.settled("phone", "078-05-1120", before="Mobile: ") == "phone"
+
+
+def test_every_line_is_read(finder):
+    text = "\n \nSKILLS\nlower case only\n\n• one\n  wrapped\r\n- two\n\n\n"
+    parts = pii.stretches(text)
+    assert "".join("".join(text[a:b] for a, b, _ in parts).split()) == "".join(text.split())
+    assert parts == [(text.index("SKILLS"), text.index("\n\n• one"), 2), (text.index("• one"), text.index("\n- two"), 5), (text.index("- two"), text.index("\n\n\n"), 7)]
+    assert pii.stretches("") == [] and pii.stretches(" \n\r\n") == []
+    # both parts of these names are common words of the corpus
+    assert kinds(finder, "Summary\n\n• Reported to Ana Morgan on the queue\n\nLinden Finch") == {(2, "name"), (4, "name")}
+
+
+def test_a_long_stretch_does_not_widen_the_others(finder):
+    texts = ["so it goes " * 60_000 + "jonathan810@post.example"] + [f"Reported to Hélène Ravham on queue {k}" for k in range(300)]
+    found = finder.find(texts)
+    assert [x[2] for x in found[0]] == ["email"] and all([x[2] for x in own] == ["name"] for own in found[1:])
