@@ -105,3 +105,55 @@ def test_a_long_stretch_does_not_widen_the_others(finder):
     texts = ["so it goes " * 60_000 + "jonathan810@post.example"] + [f"Reported to Hélène Ravham on queue {k}" for k in range(300)]
     found = finder.find(texts)
     assert [x[2] for x in found[0]] == ["email"] and all([x[2] for x in own] == ["name"] for own in found[1:])
+
+
+def plain_scores(weights, text):
+    """The network character by character."""
+    w = {k: v.astype(np.float64) for k, v in weights.items()}
+    ids = pii.char_ids(text)
+
+    def side(name, ids):
+        n = w[f"{name}_h"].shape[0]
+        h, c, out = np.zeros(n), np.zeros(n), []
+        for x in w["emb"][ids]:
+            g = x @ w[f"{name}_x"] + h @ w[f"{name}_h"] + w[f"{name}_b"]
+            i, f, o = (1 / (1 + np.exp(-g[k * n : (k + 1) * n])) for k in range(3))
+            c = f * c + i * np.tanh(g[3 * n :])
+            h = o * np.tanh(c)
+            out.append(h)
+        return np.array(out)
+
+    return np.concatenate([side("fw", ids), side("bw", ids[::-1])[::-1]], axis=1) @ w["out"] + w["out_b"]
+
+
+def test_windows_share_the_states_of_common_ends(monkeypatch):
+    """Each beginning and each end of the windows is run once, and the scores are those of the plain network."""
+    weights, seen, got = pii.load(), [], []
+    tagger = pii.Tagger(weights)
+    run, decode = tagger._run, tagger._decode
+    monkeypatch.setattr(tagger, "_run", lambda side, levels: seen.append(sum(len(ids) for ids, _ in levels)) or run(side, levels))
+    monkeypatch.setattr(tagger, "_decode", lambda scores, *rest: got.append(scores) or decode(scores, *rest))
+    texts = [f"Reported to Hélène Ravham on queue {k % 50}" for k in range(100)] + ["Reported", "x", "", "Tel. +49 30 23125-496\nAddress: 25 Wharf Avenue, Pellbridge XZ2 3BH"]
+    list(tagger.label(texts))
+    beginnings = {t[:k] for t in texts for k in range(1, len(t) + 1)}
+    ends = {t[-k:] for t in texts for k in range(1, len(t) + 1)}
+    assert seen == [len(beginnings), len(ends)] and sum(seen) < sum(map(len, texts))
+    want = np.concatenate([plain_scores(weights, t) for t in texts if t])
+    assert np.abs(got[0].T - want).max() < 0.02
+
+
+def test_stretches_without_an_item_are_told_from_the_scores():
+    """Stretches that are not decoded have no item in the best way; random scores around the cutoff."""
+    tagger, rng = pii.Tagger(pii.load()), np.random.default_rng(3)
+    lengths = rng.integers(1, 9, 4000)
+    scores = [(rng.standard_normal((n, pii.LABELS)) * 1.5 + np.array([3.0] + [0.0] * (pii.LABELS - 1))).astype(np.float32) for n in lengths]
+    flat, begins = np.ascontiguousarray(np.concatenate(scores).T), np.cumsum(lengths) - lengths
+    held = tagger.held(flat, begins, lengths)
+    tagger.held = lambda scores, begins, lengths: np.ones(len(lengths), dtype=bool)
+    some = np.array([labels.any() for labels in tagger.decode(scores)])
+    assert not (some & ~held).any() and some.sum() > 500 and (~held).sum() > 500
+
+
+def test_places_are_found_without_the_redacted_texts(spark):
+    df = spark.createDataFrame([(1, "Jonathan Farsten\nx", None, None)], "doc_id bigint, raw_text string, cleaned_text string, reference_items array<struct<email:string,phone:string>>")
+    assert "redacted_text" not in pii.find_personal(df)._jdf.queryExecution().analyzed().toString() and pii.examine(df).first()["redacted_text"] == "[NAME]\nx"
